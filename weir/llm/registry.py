@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import decontam, langid, mpegts, simhash
+from weir.llm import decontam, langid, mpegts, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op2_langid": lambda s, d: langid.op2_langid(table(s, d, "documents")),
         "op4_mpegts": lambda s, d: mpegts.op4_mpegts(table(s, d, "documents")),
         "op9_decontam": lambda s, d: decontam.op9_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op10_suffix": lambda s, d: suffix.op10_suffix(table(s, d, "documents")),
     }
 
 
