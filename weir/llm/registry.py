@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import decontam, langid, mpegts, pieces, quality, simhash, suffix
+from weir.llm import chat, decontam, langid, mpegts, pieces, quality, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op4_mpegts": lambda s, d: mpegts.op4_mpegts(table(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op7_pieces": lambda s, d: pieces.op7_pieces(table(s, d, "documents")),
+        "op8_chat": lambda s, d: chat.op8_chat(table(s, d, "conversations")),
         "op9_decontam": lambda s, d: decontam.op9_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_suffix": lambda s, d: suffix.op10_suffix(table(s, d, "documents")),
     }
@@ -47,4 +48,4 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontam": OP9_SQL}
+    return {"op8_chat": chat.OP8_SQL, "op9_decontam": OP9_SQL}
