@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import chat, decontam, langid, mpegts, pieces, quality, simhash, suffix
+from weir.llm import chat, decontam, langid, mpegts, pieces, pii, quality, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash": lambda s, d: simhash.op1_simhash(table(s, d, "documents")),
         "op2_langid": lambda s, d: langid.op2_langid(table(s, d, "documents")),
+        "op3_pii": lambda s, d: pii.op3_pii(table(s, d, "documents")),
         "op4_mpegts": lambda s, d: mpegts.op4_mpegts(table(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op7_pieces": lambda s, d: pieces.op7_pieces(table(s, d, "documents")),
