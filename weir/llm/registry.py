@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weir.llm import chat, decontam, langid, mpegts, pieces, pii, quality, simhash, suffix
+import corpus_pipeline
+from weir.llm import chat, decontam, langid, mpegts, pieces, pii, quality, secrets, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +22,13 @@ def queries() -> dict[str, Query]:
         "op2_langid": lambda s, d: langid.op2_langid(table(s, d, "documents")),
         "op3_pii": lambda s, d: pii.op3_pii(table(s, d, "documents")),
         "op4_mpegts": lambda s, d: mpegts.op4_mpegts(table(s, d, "documents")),
+        "op5_secrets": lambda s, d: secrets.op5_secrets(table(s, d, "documents")),
         "op6_quality": lambda s, d: quality.op6_quality(table(s, d, "documents"), table(s, d, "labels")),
         "op7_pieces": lambda s, d: pieces.op7_pieces(table(s, d, "documents")),
         "op8_chat": lambda s, d: chat.op8_chat(table(s, d, "conversations")),
         "op9_decontam": lambda s, d: decontam.op9_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_suffix": lambda s, d: suffix.op10_suffix(table(s, d, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
