@@ -100,6 +100,15 @@ def anchors(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield h[a], ctx, lo + at, hi - lo + 1
 
 
+def _anchors_of(h: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Place of the anchor of each of some windows."""
+    out = np.empty(len(windows), np.int64)
+    for k in range(0, len(windows), 4096):
+        some = windows[k : k + 4096]
+        out[k : k + 4096] = some + (h[some[:, None] + np.arange(WIDTH)] >> _U(CHUNK_BITS + 1)).argmin(axis=1)
+    return out
+
+
 def buckets_of(ids: np.ndarray, n: int) -> np.ndarray:
     """pmod(xxhash64(id), n), as Spark computes it."""
     p1, p2, p3, p4, p5 = (_U(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -136,7 +145,9 @@ def unpack(blob: bytes, *widths: int) -> list[np.ndarray]:
     return out
 
 
-_RANKS, _SPANS = (7, 6, 8, 4, 1, 1), (8, 4, 4)
+#: Bytes of the columns: anchor, surroundings, document, window, windows, whether a task has several surroundings;
+#: anchor, document, anchor's place, window before it, pair of ranks; document, window, windows.
+_RANKS, _PAIRS, _SPANS = (7, 6, 8, 4, 1, 1), (7, 8, 4, 1, 6), (8, 4, 4)
 
 
 def _groups(key: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -152,9 +163,9 @@ class Out:
     def __init__(self, ranks: int, places: int):
         self.ranks, self.places, self.rows = ranks, places, []
 
-    def rank(self, key: np.ndarray, *columns: np.ndarray) -> None:
+    def rank(self, widths: tuple[int, ...], key: np.ndarray, *columns: np.ndarray) -> None:
         for k, at in _groups(((key >> _U(32)) % _U(self.ranks)).astype(np.int64), self.ranks):
-            self.rows.append((RANK, k, 0, pack(*((c[at], w) for c, w in zip((key, *columns), _RANKS)))))
+            self.rows.append((RANK, k, 0, pack(*((c[at], w) for c, w in zip((key, *columns), widths)))))
 
     def spans(self, kind: int, ids: np.ndarray, lo: np.ndarray, n: np.ndarray) -> None:
         """Runs of windows; those that touch are joined."""
@@ -203,7 +214,7 @@ def _sampled(out: Out, parts: list[tuple]) -> None:
     more = own[several]
     out.spans(OPEN, ids[more], lo[more], n[more])
     one = own[start]
-    out.rank(kh[one], ch[one], ids[one], lo[one], n[one], (count > 1).astype(np.int64))
+    out.rank(_RANKS, kh[one], ch[one], ids[one], lo[one], n[one], (count > 1).astype(np.int64))
 
 
 def _rows(table: pa.Table, kind: int, *widths: int) -> list[np.ndarray] | None:
@@ -261,15 +272,16 @@ def _double(ranks: int, places: int):
             h = halves(np.frombuffer(text.as_buffer(), np.uint8))
             p = np.repeat(lo[a:b], n[a:b]) + np.arange(n[a:b].sum()) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
             p = np.unique(p[p + HALF < len(h)])
-            parts.append((h[p], h[p + HALF], p, np.full(len(p), i, np.int64)))
+            a = _anchors_of(h, p)
+            parts.append((h[a], (p - a + HALF).astype(np.int64), _mix(h[p] * _power(3) + h[p + HALF] * _power(5)) >> _U(16), a, np.full(len(p), i, np.int64)))
         if parts:
-            k1, k2, p, who = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((p, who, k2, k1))
-            first, later = _firsts(order, (k1, k2), who, p)
-            gone, one = order[later], order[first]
-            out.spans(COVERED, who[gone], p[gone], np.ones(len(gone), np.int64))
-            z = np.zeros(len(one), np.int64)
-            out.rank(k1[one], k2[one], who[one], p[one], z, z)
+            anchor, r, pair, a, who = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((a, who, pair, r, anchor))
+            first, later = _firsts(order, (anchor, r, pair), who, a)
+            gone = order[later]
+            out.spans(COVERED, who[gone], (a + r - HALF)[gone], np.ones(len(gone), np.int64))
+            one = np.sort(order[first])  # windows of one anchor stay together, and pack well
+            out.rank(_PAIRS, anchor[one], who[one], a[one], r[one], pair[one])
         return pa.Table.from_batches([out.batch()])
 
     return run
@@ -279,13 +291,13 @@ def _rerank(ranks: int, places: int):
     """Pairs of ranks of one bucket, of all tasks: all but the first place are covered."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, out = _rows(table, RANK, *_RANKS), Out(ranks, places)
+        rows, out = _rows(table, RANK, *_PAIRS), Out(ranks, places)
         if rows is not None:
-            k1, k2, ids, lo, _, _ = rows
-            order = np.lexsort((lo, ids, k2, k1))
-            _, later = _firsts(order, (k1, k2), ids, lo)
+            anchor, ids, a, r, pair = rows
+            order = np.lexsort((a, ids, pair, r, anchor))
+            _, later = _firsts(order, (anchor, r, pair), ids, a)
             gone = order[later]
-            out.spans(COVERED, ids[gone], lo[gone], np.ones(len(gone), np.int64))
+            out.spans(COVERED, ids[gone], (a + r - HALF)[gone], np.ones(len(gone), np.int64))
         return pa.concat_tables([_kept_rows(table), pa.Table.from_batches([out.batch()])])
 
     return run
@@ -355,10 +367,49 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     sampled = ids.select("_d", "text").mapInArrow(_sample(ranks, places), SCHEMA)
     settled = cut(sampled.groupBy("key").applyInArrow(_settle(ranks, places), SCHEMA))
-    paired = by_place.select("_p", "_d", "text").groupBy("_p").cogroup(place(settled, OPEN)).applyInArrow(_double(ranks, places), SCHEMA)
-    reranked = cut(paired.groupBy("key").applyInArrow(_rerank(ranks, places), SCHEMA))
+    unsettled = _in(by_place.select("_p", "_d", "text"), _documents(settled, (OPEN,)), "left_semi")
+    paired = unsettled.groupBy("_p").cogroup(place(settled, OPEN)).applyInArrow(_double(ranks, places), SCHEMA)
+    covered = settled.union(cut(paired.groupBy("key").applyInArrow(_rerank(ranks, places), SCHEMA)))
+    named = _documents(covered, (COVERED,))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return by_place.groupBy("_p").cogroup(place(settled.union(reranked), COVERED)).applyInArrow(_apply(keep_text), schema)
+    some = _in(by_place, named, "left_semi").groupBy("_p").cogroup(place(covered, COVERED)).applyInArrow(_apply(keep_text), schema)
+    whole = F.coalesce("text", F.lit("")).cast("binary")
+    rest = _in(ids, named, "left_anti").select("doc_id", F.octet_length(whole).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.sha2(whole, 256), *([whole] if keep_text else []))
+    return some.union(rest)
+
+
+#: Bits of a filter of documents, and of one of its rows.
+FILTER_BITS, ROW_BITS = 1 << 26, 1 << 16
+
+
+def _documents(spans: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """A filter (row, bits) of the documents that spans of these kinds name: at most FILTER_BITS bits, whatever the input.
+
+    A document outside of the filter isn't named; the fuller it is, the more others are let through.
+    """
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for b in batches:
+            for blob in b.column(0):
+                at = buckets_of(np.unique(unpack(blob.as_py(), *_SPANS)[0]), FILTER_BITS)
+                np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        rows = bits.view(np.int64).reshape(-1, ROW_BITS // 64)
+        own = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([r.tolist() for r in rows[own]], pa.list_(pa.int64()))], names=["row", "bits"])
+
+    def joined(t: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce(np.stack([np.array(x, np.int64) for x in t.column("bits").to_pylist()]))
+        return pa.table({"row": pa.array([t.column("row")[0].as_py()], pa.int64()), "bits": pa.array([bits.tolist()], pa.list_(pa.int64()))})
+
+    schema = "row long, bits array<long>"
+    return F.broadcast(cut(spans.where(F.col("kind").isin(*kinds)).select("blob").mapInArrow(some, schema).groupBy("row").applyInArrow(joined, schema)))
+
+
+def _in(docs: DataFrame, filter_: DataFrame, how: str) -> DataFrame:
+    bit = F.pmod(F.xxhash64("_d"), F.lit(FILTER_BITS))
+    word = F.get(filter_["bits"], F.floor(F.pmod(bit, F.lit(ROW_BITS)) / 64).cast("int"))
+    return docs.join(filter_, (F.floor(bit / ROW_BITS) == filter_["row"]) & (F.getbit(word, F.pmod(bit, F.lit(64)).cast("int")) == 1), how)
 
 
 def op10_suffix(docs: DataFrame) -> DataFrame:
