@@ -564,7 +564,7 @@ def _map(e, env):
     kt, ks = unify([k for k, _ in pairs])
     vt, vs = unify([v for _, v in pairs])
     # later keys win
-    m = F.map_from_entries(F.array(*[F.struct(k, v) for i, (k, v) in enumerate(zip(ks, vs)) if not any(_same(pairs[i][0], p[0]) for p in pairs[i + 1 :])]))
+    m = F.map_from_entries(F.array(*[F.struct(k.alias("key"), v.alias("value")) for i, (k, v) in enumerate(zip(ks, vs)) if not any(_same(pairs[i][0], p[0]) for p in pairs[i + 1 :])]))
     return Value(m, ("map", kt, vt))
 
 
