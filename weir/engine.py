@@ -116,6 +116,24 @@ class Engine:
         out, plan = self._run(text, df)
         return out.result(ordered and not plan.streaming)
 
+    def values(self, text: str, source: DataFrame | str | None = None, format: str = "zson") -> DataFrame:
+        """A pipeline over values of any type: a path, or a DataFrame of texts (column v or value). Gives texts in column v."""
+        from weir.dynamic import run
+        from weir.dynamic.evaluate import Scope
+        from weir.sources.readers import sequence
+        from weir.sources.writers import zson_lines
+
+        def opened(kind: str, a: dict) -> DataFrame:
+            if kind == "file":
+                return sequence(self.spark, a["path"])
+            return run.of_lines(zson_lines(self._source(kind, a).result()))
+
+        if isinstance(source, str):
+            source = sequence(self.spark, source)
+        elif source is not None and set(source.columns) != {"v", "k"}:
+            source = run.of_lines(source, "v" if "v" in source.columns else "value")
+        return run.run_spark(parse(text), source, Scope(), opened).orderBy("k").select("v")
+
     def outputs(self, text: str, df: DataFrame | None = None) -> dict[str, DataFrame]:
         """All results: "main", named outputs and "debug"."""
         out, plan = self._run(text, df)
