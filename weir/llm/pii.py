@@ -212,4 +212,6 @@ def redact(docs: DataFrame) -> DataFrame:
     from weir.llm.spans import replaced
 
     every = F.array_sort(F.concat(*[F.transform(_kinded(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in KINDS], F.transform("_c", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
-    return find(docs).withColumn("_c", every).withColumn("text", F.when(F.size("_c") > 0, replaced(F.col("text"), F.col("_c"), lambda s: F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]")))).otherwise(F.col("text"))).select(*docs.columns)
+    marked = replaced(F.col("text"), F.col("_c"), lambda s: F.concat(F.lit("["), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit("]")))
+    out = find(docs.select(F.struct("*").alias("row"), "text")).withColumn("_c", every)
+    return out.select(*[(F.when(F.size("_c") > 0, marked).otherwise(F.col("text")) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -165,4 +165,6 @@ def op5_secrets(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by MASK; rows and other columns stay."""
-    return findings(docs).withColumn("text", _masked()).select(*docs.columns)
+    path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
+    found_ = findings(docs.select(F.struct("*").alias("row"), "text", path.alias("source")))
+    return found_.select(*[(_masked() if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
