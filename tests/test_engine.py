@@ -85,6 +85,19 @@ def test_plans_push_down(spark, engine, tmp_path):
     assert "TakeOrderedAndProject" in e.query("from t | top 3 id")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("order", ["k", "-r k, id", "-nulls first k, id", "d, id", "t, id"])
+def test_spread_running_aggregates(spark, monkeypatch, order):
+    from weir.operators import running
+
+    df = spark.range(500).selectExpr("id", "CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 37) % 101 END AS k", "(id * 7 % 13) / 3.0D AS d", "timestamp_seconds(id * 97 % 5000) AS t")
+    e = Engine(spark, {"t": df})
+    text = f"from t | sort {order}, id | yield {{id,n:count(),s:sum(k),lo:min(d),hi:max(k),a:and(k>0),w:count() where k>50}}"
+    want = sorted(map(tuple, e.query(text).collect()))
+    monkeypatch.setattr(running, "SMALL", 0)
+    monkeypatch.setattr(running, "RANGES", 7)
+    assert sorted(map(tuple, e.query(text).collect())) == want
+
+
 def test_named_outputs_and_debug(engine):
     got = engine.outputs("from A | debug sa | where a>10 | output big | count()")
     assert got["big"].count() == 2 and got["debug"].count() == 4 and got["main"].first()[0] == 2

@@ -20,6 +20,8 @@ from weir.lang.lexer import QueryError
 from weir.lang.parser import AGGREGATES, field_name
 from weir.operators import rel as R
 from weir.operators.rel import Rel
+from weir.operators.running import running as spread
+from weir.operators.running import spreads
 from weir.plans import types as L
 
 _ids = itertools.count()
@@ -590,6 +592,8 @@ def _running(r: Rel, plan: Plan) -> Env:
     def running(name: str, arg: Value | None, where: object) -> Value:
         if plan.streaming:
             raise QueryError("a running aggregate needs a bounded input")
+        if spreads(r, name):
+            return spread(r, name, arg, where)
         w = _scoped(r if r.order else _unordered(r)).rowsBetween(Window.unboundedPreceding, 0)
         v = aggregate(name, arg, where)
         return replace(v, col=v.col.over(w)) if name not in ("collect", "union", "dcount", "collect_map") else _running_list(name, arg, where, w)
