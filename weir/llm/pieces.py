@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +31,17 @@ from pyspark.sql import types as T
 from weir.llm.common import SLICE_ROWS, per_document
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: What pieces have for a blank.
 BLANK = "▁"
-#: Stands for a literal U+2581 in the lattice; no valid text holds it.
-LITERAL = "\udc80"
-#: Parts remembered by a worker; the younger half outlives the older one.
-REMEMBERED = 500_000
+#: Parts remembered by a worker, at some 300 bytes each; the younger half outlives the older one.
+REMEMBERED = 300_000
 #: Score of a character that takes bytes, below that of the worst piece.
 BYTES_PENALTY = 10.0
 #: Scores at or under this mark runs of blanks, which merges never reach; they get a score just below the worst piece.
 UNUSED = -1e8
 BLANKS_PENALTY = 5.0
 
-_PART = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+_PART = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
 
 class Vocabulary:
@@ -49,7 +49,8 @@ class Vocabulary:
 
     def __init__(self, pieces: list[tuple[str, int, float]], byte_ids: list[int]):
         floor = min(s for _, _, s in pieces if s > UNUSED)
-        self.pieces = {p: (i, s if s > UNUSED else floor - BLANKS_PENALTY) for p, i, s in pieces}
+        # a blank in the keys, so that texts are searched as they are and a literal U+2581 is in no piece
+        self.pieces = {p.replace(BLANK, " "): (i, s if s > UNUSED else floor - BLANKS_PENALTY) for p, i, s in pieces}
         self.byte_ids = byte_ids
         self.trie: dict = {}
         for p, x in self.pieces.items():
@@ -57,7 +58,7 @@ class Vocabulary:
             for c in p:
                 node = node.setdefault(c, {})
             node[0] = x
-        bad = [p for p in self.pieces if BLANK in p.lstrip(BLANK) or (len(p) > 1 and "\n" in p)]
+        bad = [p for p in self.pieces if " " in p.lstrip(" ") or (len(p) > 1 and "\n" in p)]
         if bad:
             raise ValueError(f"pieces cross words, so texts can't be encoded by parts: {bad[:5]}")
         self.worst = floor - BYTES_PENALTY
@@ -102,37 +103,37 @@ class Vocabulary:
                     if so_far + score > best[j]:
                         best[j] = so_far + score
             if not single:
-                c = BLANK if part[i] == LITERAL else part[i]
-                into[i + 1].append((i, self.worst, tuple(self.byte_ids[b] for b in c.encode())))
+                into[i + 1].append((i, self.worst, tuple(self.byte_ids[b] for b in part[i].encode())))
                 if so_far + self.worst > best[i + 1]:
                     best[i + 1] = so_far + self.worst
         return best, into
 
-    def two(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The best (score, ids) and the second best score, its ids left out.
+    def two(self, part: str) -> tuple[float, float, bytes]:
+        """(best score, what the second best loses, ids of the best as 32-bit numbers).
 
         The search from the end takes the best path first; the second best is the
         best of the edges it then has met and not taken, as the heuristic is exact.
         """
         best, into = self.lattice(part)
-        at, ids, gap = len(part), [], 1e300
+        at, path, gap = len(part), [], float("inf")
         while at:
             here, taken = best[at], None
             for edge in into[at]:
-                loss = here - best[edge[0]] - edge[1]
                 if taken is None and best[edge[0]] + edge[1] == here:
                     taken = edge
-                elif loss < gap:
-                    gap = loss
-            ids.append(taken[2])
+                else:
+                    loss = here - best[edge[0]] - edge[1]
+                    if loss < gap:
+                        gap = loss
+            path.append(taken[2])
             at = taken[0]
         own: list[int] = []
-        for x in reversed(ids):
+        for x in reversed(path):
             if isinstance(x, int):
                 own.append(x)
             else:
                 own.extend(x)
-        return [(best[-1], tuple(own))] + ([(best[-1] - gap, ())] if gap < 1e300 else [])
+        return best[-1], gap, struct.pack(f"<{len(own)}i", *own)
 
     def search(self, part: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best (score, ids), best first; ties by the order in which they were met."""
@@ -154,20 +155,17 @@ class Vocabulary:
                 heapq.heappush(heap, (-(g + best[start]), next(met), start, g, (own, path)))
         return out
 
-    def known(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
+    def known(self, part: str) -> tuple[float, float, bytes]:
         """two(part), remembered."""
-        found = self._known.get(part)
-        if found is None:
-            found = self._older.get(part) or self.two(part)
-            if len(self._known) >= REMEMBERED // 2:
-                self._older, self._known = self._known, {}
-            self._known[part] = found
+        found = self._older.get(part) or self.two(part)
+        if len(self._known) >= REMEMBERED // 2:
+            self._older, self._known = self._known, {}
+        self._known[part] = found
         return found
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        text = text.replace(BLANK, LITERAL)
-        return _PART.findall(BLANK + text.replace(" ", BLANK)) if text else []
+        return _PART.findall(" " + text) if text else []
 
     def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of a text, best first."""
@@ -187,22 +185,21 @@ class Vocabulary:
             out.append((sum(base) - loss, ids))
         return out
 
-    def encode(self, text: str) -> tuple[list[int], float, float]:
+    def encode(self, text: str) -> tuple[np.ndarray, float, float]:
         """Ids of the best segmentation, its score, and what the second best loses (infinity where there is none)."""
-        ids: list[int] = []
+        out: list[bytes] = []
         score, gap = 0.0, float("inf")
         for part in self.parts(text):
-            p = self._known.get(part) or self.known(part)
-            s, own = p[0]
-            ids.extend(own)
+            s, g, ids = self._known.get(part) or self.known(part)
+            out.append(ids)
             score += s
-            if len(p) > 1 and s - p[1][0] < gap:
-                gap = s - p[1][0]
-        return ids, score, gap
+            if g < gap:
+                gap = g
+        return np.frombuffer(b"".join(out), "<i4"), score, gap
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
         """The text of ids, without the blank that encoding puts before it."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))[1:]
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))[1:]
 
 
 def op7_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -216,7 +213,7 @@ def op7_pieces(docs: DataFrame, model: str = MODEL) -> DataFrame:
             text = raw.decode("utf-8", "replace")
             ids, score, gap = v.encode(text)
             back = v.decode(ids)
-            out.append((i, len(text), len(ids), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest(), score, None if gap == float("inf") else score - gap, hashlib.sha256(back).hexdigest(), back == raw))
+            out.append((i, len(text), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), score, None if gap == float("inf") else score - gap, hashlib.sha256(back).hexdigest(), back == raw))
         return out
 
     return per_document(docs, run, ["doc_id", "text"], "doc_id long, n_chars long, n_pieces long, ids_sha256 string, best_score double, second_score double, decoded_sha256 string, round_trip boolean")
