@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW = 13
 #: Words of the benchmark in one broadcast block.
@@ -90,49 +91,56 @@ def blocks(benchmark: DataFrame) -> Iterator[Windows]:
         yield Windows(some)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with _hits (one byte a word, 1 where hit) and _items (strings)."""
-    out = docs.withColumn("_hits", F.lit(None).cast("binary")).withColumn("_items", F.lit(None).cast("array<string>"))
-    text_at, hits_at, items_at = docs.columns.index("text"), len(docs.columns), len(docs.columns) + 1
-    for b in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(b)
+def _scanned(docs: DataFrame, benchmark: DataFrame, last: Callable[[pa.RecordBatch, list[np.ndarray], list[list[str]]], pa.RecordBatch], schema) -> DataFrame:
+    """last(rows, hit words, items) of every slice of docs, after all blocks; earlier blocks add two columns to the rows."""
+    n, text_at = len(docs.columns), docs.columns.index("text")
+    extra = [f"{x}_{k}" for k in range(n + 1) for x in ("hits", "items")]
+    names = [x for x in extra if x.lower() not in {c.lower() for c in docs.columns}][:2]
+    carried = T.StructType([*docs.schema.fields, T.StructField(names[0], T.BinaryType()), T.StructField(names[1], T.ArrayType(T.StringType()))])
+    out, ahead = docs, iter(blocks(benchmark))
+    block, first = next(ahead), True
+    while block is not None:
+        after = next(ahead, None)
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, final=after is None) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for whole in batches:
                 for k in range(0, whole.num_rows, 256):
                     batch = whole.slice(k, 256)
                     hits, items = [], []
-                    for text, old, names in zip(batch.column(text_at).cast(pa.binary()), batch.column(hits_at), batch.column(items_at)):
+                    for i, text in enumerate(batch.column(text_at).cast(pa.binary())):
                         hit, found = index.scan(words(text.as_py()))
-                        if old.is_valid:
-                            hit |= np.frombuffer(old.as_py(), dtype=bool)
-                            found |= set(names.as_py())
-                        hits.append(hit.tobytes())
+                        if not first:
+                            hit |= np.frombuffer(batch.column(n)[i].as_py(), dtype=bool)
+                            found |= set(batch.column(n + 1)[i].as_py())
+                        hits.append(hit)
                         items.append(sorted(found))
-                    cols = batch.columns[:hits_at] + [pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
-
-        out = out.mapInArrow(run, out.schema)
+                    own = pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n])
+                    if final:
+                        yield last(own, hits, items)
+                    else:
+                        yield pa.RecordBatch.from_arrays([*own.columns, pa.array([h.tobytes() for h in hits], pa.binary()), pa.array(items, pa.list_(pa.string()))], names=carried.names)
+
+        out = out.mapInArrow(run, schema if after is None else carried)
+        block, first = after, False
     return out
 
 
+def _contaminated(hit: np.ndarray) -> bool:
+    k = int(hit.sum())
+    return k > 0 and SHARE * k >= len(hit)
+
+
 def op9_decontam(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document: its words, hit words, items and verdict."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, hits, items = b.columns
-            n = [len(h.as_py()) for h in hits]
-            k = [h.as_py().count(1) for h in hits]
-            names = [x.as_py() for x in items]
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]), pa.array([x > 0 and SHARE * x >= y for x, y in zip(k, n)])],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+    def last(b: pa.RecordBatch, hits: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+        digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        cols = [b.column(0), pa.array([len(h) for h in hits], pa.int64()), pa.array([int(h.sum()) for h in hits], pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(map(_contaminated, hits), pa.bool_())]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    found = scan(docs.select("doc_id", "text"), benchmark).select("doc_id", "_hits", "_items")
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _scanned(docs.select("doc_id", "text"), benchmark, last, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def without_spans(text: bytes, hit: np.ndarray) -> bytes:
@@ -151,19 +159,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     All columns of docs are kept; no other column changes.
     """
-    found = scan(docs, benchmark)
-    text_at, n = docs.columns.index("text"), len(docs.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep, texts = [], []
-            for text, h in zip(b.column(text_at), b.column(n)):
-                hit = np.frombuffer(h.as_py(), dtype=bool)
-                k = int(hit.sum())
-                keep.append(not (k > 0 and SHARE * k >= len(hit)))
-                texts.append(without_spans(text.as_py().encode(), hit).decode() if k and keep[-1] else text.as_py())
-            cols = list(b.columns[:n])
-            cols[text_at] = pa.array(texts, cols[text_at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:n]).filter(pa.array(keep, pa.bool_()))
-
-    return found.mapInArrow(run, docs.schema)
+    text_at = docs.columns.index("text")
+
+    def last(b: pa.RecordBatch, hits: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+        keep = [not _contaminated(h) for h in hits]
+        texts = [without_spans(t.as_py().encode(), h).decode() if k and h.any() else t.as_py() for t, h, k in zip(b.column(text_at), hits, keep)]
+        cols = list(b.columns)
+        cols[text_at] = pa.array(texts, cols[text_at].type)
+        return pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return _scanned(docs, benchmark, last, docs.schema)
