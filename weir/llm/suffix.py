@@ -42,9 +42,9 @@ WIDTH = LENGTH - HALF + 1
 CHUNK_BITS = 17
 CHUNK = 1 << CHUNK_BITS
 #: Anchors a task holds before it sends them.
-HELD = 1_000_000
+HELD = 500_000
 #: Text behind one bucket of records or of documents.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 _LAST_ID = (1 << 63) - 1
 
 _U = np.uint64
