@@ -196,10 +196,7 @@ def equals(a: Value, b: Value) -> Column:
     x, y = aligned(a, b)
     if L.under(a.type)[0] == "map":
         x, y = F.array_sort(F.map_entries(x)), F.array_sort(F.map_entries(y))
-    # a literal is never null, so plain equality says the same and reaches the scan
-    if (a.known and a.const is not None) or (b.known and b.const is not None):
-        return F.coalesce(x == y, F.lit(False)) if False else x.eqNullSafe(y)
-    return x.eqNullSafe(y)
+    return x.eqNullSafe(y)  # scans and hash joins take it as they take plain equality
 
 
 def less(a: Value, b: Value, op: str) -> Column:
@@ -378,8 +375,13 @@ def glob_regex(g: str) -> str:
 
 def contains(container: Value, v: Value) -> Column:
     """Whether v is container or lies anywhere in it."""
-    out = equals(container, v)
     t = L.under(container.type)
+    if t[0] == "array" and container.known and L.under(v.type)[0] == "prim" and comparable(t[1], v.type) and not L.is_prim(t[1], "null") and not v.known:
+        # a list of literals, as what scans can take
+        items = [x for x in container.const if x is not None]
+        if len(items) == len(container.const) and all(isinstance(x, (str, int, bool)) for x in items) and L.under(t[1])[0] == "prim" and t[1][1] in ("string", "int64", "bool") and (not L.is_int(v.type) or all(_fits(x, v.type) for x in items)) and not L.is_float(v.type):
+            return v.col.isNotNull() & v.col.isin(*items)
+    out = equals(container, v)
     if t[0] == "record":
         for x in members(container).values():
             out = out | contains(x, v)
@@ -606,7 +608,7 @@ def to_text(v: Value) -> Column:
         return F.concat(F.lit("0x"), F.lower(F.hex(v.col)))
     if L.is_float(t):
         s = F.regexp_replace(F.regexp_replace(v.col.cast("string"), r"\.0$", "."), r"\.0E", "E")
-        return F.when(v.col == v.col.cast("bigint"), F.concat(F.format_string("%.0f", v.col), F.lit("."))).otherwise(s) if False else s
+        return s
     if t[0] in ("array", "set", "map", "record"):
         return F.to_json(v.col)
     return v.col.cast("string")
@@ -656,7 +658,7 @@ def cast(v: Value, t: Type) -> Value:
     elif L.is_int(b):
         base = v.col
         if L.is_prim(a, "string"):
-            base = v.col.try_cast("double") if False else F.coalesce(v.col.try_cast("decimal(38,0)").try_cast("bigint"), F.floor(v.col.try_cast("double")).try_cast("bigint"))
+            base = F.coalesce(v.col.try_cast("decimal(38,0)").try_cast("bigint"), F.floor(v.col.try_cast("double")).try_cast("bigint"))
         elif L.is_prim(a, "bool"):
             base = v.col.cast("int")
         c = base.try_cast("bigint")

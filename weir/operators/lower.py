@@ -333,7 +333,7 @@ def _exploded(r: Rel, c, t: L.Type, outer: bool = False) -> Rel:
     """One row for each element of an array column."""
     df = r.df.select(*r.hidden, F.explode(c).alias("__e"))
     out = replace(r, df=df, type=("record", []), sorted_by=())
-    return out.yielding(Value(F.col("__e"), t)) if True else out
+    return out.yielding(Value(F.col("__e"), t))
 
 
 def pass_(r: Rel, a: dict, plan: Plan) -> Rel:
@@ -474,8 +474,10 @@ def uniq(r: Rel, a: dict, plan: Plan) -> Rel:
     fields = r.columns() if r.is_record else {"this": r.this()}
     names = list(fields)
     if set(names) <= set(r.sorted_by) and r.order:
-        g = r.df.groupBy(*r.scope, *[F.col(R._q(n)) for n in names]).agg(F.count(F.lit(1)).alias("__count"), *[F.any_value(h).alias(h) for h in r.hidden if h not in r.scope])
-        out = replace(r, df=g)
+        # keys of the order that are fields themselves are had again after grouping
+        again = {h: n for (h, _, _), n in zip(r.order, r.sorted_by) if n in fields and not L.is_prim(fields[n].type, "ip") and L.under(fields[n].type)[0] != "map"}
+        g = r.df.groupBy(*r.scope, *[F.col(R._q(n)) for n in names]).agg(F.count(F.lit(1)).alias("__count"), *[F.any_value(h).alias(h) for h in r.hidden if h not in r.scope and h not in again])
+        out = replace(r, df=g.withColumns({h: F.col(R._q(n)) for h, n in again.items()}))
     else:
         r = _ordered(r)
         key = F.struct(*[F.to_json(v.col) if L.under(v.type)[0] == "map" else v.col for v in fields.values()])
