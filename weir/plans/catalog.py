@@ -24,14 +24,14 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     # projection and shaping
     "cut_expr": ("from orders | cut k:=o_orderkey,half:=o_totalprice/2", "SELECT o_orderkey AS k, o_totalprice/2 AS half FROM orders"),
     "drop_fields": ("from customer | drop c_name,c_acctbal", "SELECT c_custkey, c_nationkey, c_mktsegment FROM customer"),
-    "put_field": ("from part | put big:=p_size>25, p_size:=p_size+1", "SELECT p_partkey, p_name, p_brand, p_type, p_size+1 AS p_size, p_retailprice, p_size>25 AS big FROM part"),
+    "put_field": ("from part | put big:=p_size>25, p_size:=p_size+1", "SELECT p_partkey, p_name, p_brand, p_type, p_size+1::BIGINT AS p_size, p_retailprice, p_size>25 AS big FROM part"),
     "put_nested": ("from nation | put a.b:=n_nationkey, a.c:=n_name | cut x:=a.b,y:=a.c", "SELECT n_nationkey AS x, n_name AS y FROM nation"),
     "rename_field": ("from nation | rename key:=n_nationkey,name:=n_name", "SELECT n_nationkey AS key, n_name AS name, n_regionkey FROM nation"),
     "yield_record": ("from customer | yield {k:c_custkey,n:upper(c_name)}", "SELECT c_custkey AS k, upper(c_name) AS n FROM customer"),
     "yield_many": ("from nation | yield {k:n_nationkey}, {k:n_regionkey} | count() by k", "SELECT k, count(*) AS count FROM (SELECT n_nationkey AS k FROM nation UNION ALL SELECT n_regionkey FROM nation) GROUP BY k"),
-    "yield_spread": ("from region | yield {...this, z:r_regionkey*2}", "SELECT *, r_regionkey*2 AS z FROM region"),
+    "yield_spread": ("from region | yield {...this, z:r_regionkey*2}", "SELECT *, r_regionkey*2::BIGINT AS z FROM region"),
     "assert_rows": ("from nation | assert n_nationkey<20 | where error!=null | cut n_nationkey", "SELECT n_nationkey FROM nation WHERE NOT n_nationkey<20"),
-    "sample_one": ("from nation | sample | count()", "SELECT 1 AS this"),
+    "sample_one": ("from nation | sample | count()", "SELECT 1::BIGINT AS this"),
     "shape_op": ("from lineitem | yield {q:l_quantity} | shape | t:=typeof(q) | count() by t", "SELECT 'int64' AS t, count(*) AS count FROM lineitem"),
     "explode_type": ("from nation | explode this by string as s", "SELECT n_name AS s FROM nation"),
     "fuse_two": ("from ( pool nation pool region ) | fuse", "SELECT * FROM nation UNION ALL BY NAME SELECT * FROM region"),
@@ -106,7 +106,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     # numbers and time
     "math_round": ("from customer | yield {c_custkey,c:ceil(c_acctbal),f:floor(c_acctbal),r:round(c_acctbal),a:abs(c_acctbal)}", "SELECT c_custkey, ceil(c_acctbal) AS c, floor(c_acctbal) AS f, sign(c_acctbal)*floor(abs(c_acctbal)+0.5) AS r, abs(c_acctbal) AS a FROM customer"),
     "math_powers": ("from part | yield {p_partkey,s:round(sqrt(p_size)*1000),l:round(log(p_size)*1000),p:pow(p_size,2)}", "SELECT p_partkey, round(sqrt(p_size)*1000) AS s, round(ln(p_size)*1000) AS l, pow(p_size,2) AS p FROM part"),
-    "math_extremes": ("from lineitem | yield {a:min(l_linenumber,3),b:max(l_linenumber,3)} | count() by a,b", "SELECT least(l_linenumber,3) AS a, greatest(l_linenumber,3) AS b, count(*) AS count FROM lineitem GROUP BY 1,2"),
+    "math_extremes": ("from lineitem | yield {a:min(l_linenumber,3),b:max(l_linenumber,3)} | count() by a,b", "SELECT least(l_linenumber,3::BIGINT) AS a, greatest(l_linenumber,3::BIGINT) AS b, count(*) AS count FROM lineitem GROUP BY 1,2"),
     "int_division": ("from orders | yield {o_orderkey,d:o_orderkey/7,m:o_orderkey%7,n:-o_orderkey/7}", "SELECT o_orderkey, o_orderkey//7 AS d, o_orderkey%7 AS m, -(o_orderkey//7) AS n FROM orders"),
     "divide_by_zero": ("from nation | put q:=10/n_regionkey | where is_error(10/n_regionkey) | cut n_nationkey", "SELECT n_nationkey FROM nation WHERE n_regionkey=0"),
     "time_arith": ("from events | yield {event_id,later:ts+1h,gap:(ts+1h)-ts}", "SELECT event_id, ts + INTERVAL 1 HOUR AS later, 3600000000000::BIGINT AS gap FROM events"),
@@ -147,7 +147,7 @@ EXTRAS: dict[str, tuple[str, str]] = {
     "ext_full_join": ("SELECT n_nationkey, r_name FROM nation FULL JOIN region ON n_nationkey=r_regionkey", "SELECT n_nationkey, r_name FROM nation FULL JOIN region ON n_nationkey=r_regionkey"),
     "ext_rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP(l_returnflag,l_linestatus)",) * 2,
     "ext_cube": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE(l_returnflag,l_linestatus)",) * 2,
-    "ext_rank": ("SELECT o_orderkey, rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders",) * 2,
+    "ext_rank": ("SELECT o_orderkey, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS r FROM orders",) * 2,
     "ext_intersect": ("SELECT n_regionkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region",) * 2,
     "ext_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT r_regionkey FROM region",) * 2,
 }
