@@ -27,8 +27,9 @@ PASSAGE_CHARS = 600
 DICT_BYTES = 112_640
 #: Bytes encoded at once: small, so that the dictionary counts and not the text's own past.
 BLOCK_BYTES = 4096
-#: Texts below this many bytes are encoded at the highest level; they are few bytes in all.
-SHORT_BYTES = 256
+#: Compression levels: of most texts (lower ones find too few short matches to tell languages apart), and of texts
+#: below SHORT_BYTES, which are few bytes in all.
+LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 19, 256
 #: Rejected where the runner-up needs less than this share of bytes more.
 MARGIN = 0.004
 UND = "und"
@@ -86,7 +87,7 @@ class Classifier:
         if not self.dicts or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0, True
         data = normalise(text).encode()
-        coders = self._compressors(19 if len(data) < SHORT_BYTES else 3)
+        coders = self._compressors(SHORT_LEVEL if len(data) < SHORT_BYTES else LEVEL)
         sizes = [0] * len(coders)
         for at in range(0, len(data), BLOCK_BYTES):
             block = data[at : at + BLOCK_BYTES]
