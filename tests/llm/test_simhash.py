@@ -104,3 +104,13 @@ def test_components_of_chains(spark):
     e = spark.range(50).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = common.connected_components(e.union(spark.createDataFrame([(100, 101), (None, 5)], "u long, v long"))).collect()
     assert {r.root for r in got if r.node <= 50} == {0} and {r.root for r in got if r.node > 50} == {100}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_without_ids(spark, monkeypatch, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    df = spark.range(1000).selectExpr("IF(id = 7, NULL, id) AS doc_id", "id AS w", "id AS bits").repartition(3)
+    ids = spark.range(0, 1000, 3).select(F.col("id").alias("doc_id"))
+    got = common.without_ids(df, ids)
+    assert got.columns == df.columns
+    assert sorted(r.w for r in got.collect()) == [i for i in range(1000) if i % 3 or i == 7]

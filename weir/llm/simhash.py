@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm.common import connected_components, cut, per_document
+from weir.llm.common import connected_components, cut, per_document, without_ids
 
 TAU = 2
 #: Fingerprints in one bucket beyond which it takes the linear way.
@@ -206,10 +206,10 @@ def probes(fps: DataFrame, groups: list[list[int]], tables: list[np.ndarray]) ->
 def plan(fps: DataFrame) -> tuple[list[list[int]], list[np.ndarray]]:
     """The partitions and cost tables that are cheapest for these fingerprints, of 2 to 4 partitions."""
     n, both = bit_statistics(fps)
-    found = []
-    for m in (2, 3, 4):
-        groups = partitions(n, both, m)
-        hists = histograms(fps, groups)
+    found, splits = [], [partitions(n, both, m) for m in (2, 3, 4)]
+    counted = iter(histograms(fps, [g for groups in splits for g in groups]))
+    for groups in splits:
+        m, hists = len(groups), [next(counted) for _ in groups]
         tables = costs(groups, hists, n, both)
         # thresholds are allotted for each cell alone; the mean over fingerprints is what a probe costs
         mean = [(h[:, None] * t).sum(axis=0) / max(n, 1) for h, t in zip(hists, tables)]
@@ -274,5 +274,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
     """
-    later = simhash_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    later = cut(simhash_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())
+    return without_ids(docs, later)
