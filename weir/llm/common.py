@@ -68,20 +68,30 @@ def per_document(
 FILTER_BITS = 1 << 24
 
 
+def _inside(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """A bit filter of the ids, of bounded size and broadcast, and whether a row of df is inside of it."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    words = ids.select(bit(column).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits"))
+    words = F.broadcast(cut(words))
+    return words, (F.floor(bit(df[column]) / 64) == words["w"]) & (F.getbit(words["bits"], (bit(df[column]) % 64).cast("int")) == 1)
+
+
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """Rows of df whose column isn't in ids (rows without one stay), moving few of the others.
 
     A bit filter of the ids, of bounded size, is broadcast. Rows outside of it stay where they are;
     only rows inside (those in ids, and more the fuller the filter is) are joined with the ids.
     """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    words = ids.select(bit(column).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits"))
-    words = F.broadcast(cut(words))
-    inside = (F.floor(bit(df[column]) / 64) == words["w"]) & (F.getbit(words["bits"], (bit(df[column]) % 64).cast("int")) == 1)
+    words, inside = _inside(df, ids, column)
     sure = df.join(words, inside, "left_anti")
     return sure.union(df.join(words, inside, "left_semi").join(ids, column, "left_anti").select(*df.columns))
 
 
+def with_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of df whose column is in ids; like without_ids, rows outside of the filter aren't moved."""
+    return df.join(*_inside(df, ids, column), "left_semi").join(ids, column, "left_semi").select(*df.columns)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of edges (u, v); root is the component's smallest node.
 

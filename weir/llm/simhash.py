@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weir.llm import jaccard
 from weir.llm.common import connected_components, cut, per_document, without_ids
 
 TAU = 2
@@ -270,9 +271,9 @@ def op1_simhash(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near-copies: of each component, the document with the smallest doc_id stays, all its columns with it.
+    """docs without near copies: of each component, the document with the smallest doc_id stays, all its columns with it.
 
+    Near copies are those of ``jaccard``, not fingerprints within TAU bits: few edits move a fingerprint further.
     Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
     """
-    later = cut(simhash_components(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct())
-    return without_ids(docs, later)
+    return without_ids(docs, cut(jaccard.later_copies(docs.select("doc_id", "text")).distinct()))
