@@ -31,10 +31,13 @@ THRESHOLD = 0.6
 CONTEXT = 32
 MASK = "[SECRET]"
 
-_NAME = r"[A-Za-z0-9_.-]{0,24}(?:key|token|secret|passwd|password|pwd|credential|auth|bearer)[A-Za-z0-9_.-]{0,16}"
-_ASSIGNED = rf"(?i)(?<![A-Za-z0-9_.-]){_NAME}[\"']? {{0,2}}(?::=|[:=]) {{0,2}}[\"'`]?([^\s\"'`,;]{{8,400}})"
-_TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,120}[0-9])[A-Za-z0-9_+/=-]{16,400}"
-_PEM = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[^-]{0,8000}-----END [A-Z ]{0,24}PRIVATE KEY-----"
+# A run is entered at its start and taken whole, never given back: no length is cut, and long runs cost linear time.
+_SOUNDS = "key|token|secret|passwd|password|pwd|credential|auth|bearer"
+_NAME = rf"(?<![A-Za-z0-9_.-])(?=[A-Za-z0-9_.-]*?(?:{_SOUNDS}))[A-Za-z0-9_.-]++[\"']? {{0,2}}"
+_ASSIGNED = rf"(?i){_NAME}(?::=|[:=]) {{0,2}}[\"'`]?([^\s\"'`,;]{{8,}}+)"
+_TOKEN = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+"
+_FORMAT = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[baprs]-[A-Za-z0-9-]{10,}+|sk_(?:live|test)_[A-Za-z0-9]{16,}+|AIza[0-9A-Za-z_-]{35,}+|eyJ[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]++)*+)"
+_PEM = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 _KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}.*|-----BEGIN [\s\S]*)$"
 _CUE = r"key|token|secret|passw|pwd|credential|auth|bearer|login"
 _ANTI = r"sha|commit|checksum|md5|hash|uuid|guid|digest|etag|isbn|order|invoice|revision|build|integrity|color|image|base64,|version|\bid\b"
@@ -44,11 +47,12 @@ _WORDS = "the|and|ing|ion|ent|for|that|with|this|from|have|not|are|was|you|all|o
 
 def candidates(text: Column, path: Column) -> Column:
     """(start, end, x) of each candidate; x are its features."""
-    assigned = found(text, _ASSIGNED, F.lower(text).rlike(r"(?:key|token|secret|passwd|password|pwd|credential|auth|bearer)[a-z0-9_.-]{0,16}[\"']? {0,2}[:=]"))
+    assigned = found(text, _ASSIGNED, F.lower(text).rlike(f"{_NAME}[:=]"))
     assigned = F.transform(assigned, lambda c: F.struct((c["end"] - F.length(F.regexp_extract(c["value"], _ASSIGNED, 1))).alias("start"), c["end"].alias("end"), F.regexp_extract(c["value"], _ASSIGNED, 1).alias("value")))
     token = found(text, _TOKEN, text.rlike("[A-Za-z0-9_+/=-]{16}") & text.rlike("[0-9]"))
-    pem = found(text, _PEM, F.contains(text, F.lit("PRIVATE KEY-----")))
-    every = F.concat(pem, assigned, token)
+    known = found(text, _FORMAT)
+    pem = found(text, _PEM, F.contains(text, F.lit("PRIVATE KEY")))
+    every = F.concat(pem, known, assigned, token)
     # the same place is proposed once, the first generator's first
     every = F.element_at(F.transform(F.array(every), lambda e: F.filter(e, lambda c, i: ~F.exists(F.slice(e, F.lit(1), i), lambda o: (o["start"] == c["start"]) & (o["end"] == c["end"])))), 1)
     around = F.transform(
