@@ -218,34 +218,82 @@ def vocabulary():
 
 
 def all_paths(v, text):
-    s = " " + text
-    _, into = v.lattice(s)
+    """(score, ids) of every way to cut a whole text into pieces, by trying each piece at each place."""
+    s, longest = " " + text, max(map(len, v.pieces))
     out = []
 
-    def back(at, score):
-        if at == 0:
-            out.append(score)
-        for start, w, _ in into[at]:
-            back(start, score + w)
+    def ahead(at, score, ids):
+        if at == len(s):
+            out.append((score, ids))
+        for end in range(at + 1, min(len(s), at + longest) + 1):
+            x = v.pieces.get(s[at:end])
+            if x is not None:
+                ahead(end, score + x[1], [*ids, x[0]])
+            elif end == at + 1:
+                ahead(end, score + v.worst, [*ids, *(v.byte_ids[b] for b in s[at].encode())])
 
-    back(len(s), 0.0)
-    return sorted(out, reverse=True)
+    if text:
+        ahead(0, 0.0, [])
+    else:
+        out.append((0.0, []))
+    return sorted(out, key=lambda x: -x[0])
 
 
-@pytest.mark.parametrize("text", ["the cat", "ab\nc d", "é x", "hello  wo", "a", "  "])
+TEXTS = ["the cat", "ab\nc d", "é x", "hello  wo", "a", "  ", "", "aaaaaaaaaa", "a▁b", "\x00 日本", "   \n\n  ab"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
 def test_nbest_against_all_paths(vocabulary, text):
     want = all_paths(vocabulary, text)
     got = vocabulary.nbest(text, 6)
-    assert [s for s, _ in got] == want[:6]
+    assert [s for s, _ in got] == [s for s, _ in want[:6]]
     assert len({tuple(i) for _, i in got}) == len(got)
-    assert all(vocabulary.decode(i) == text.encode() for _, i in got)
-    ids, score, gap = vocabulary.encode(text)
-    assert score == want[0] and ids.tolist() == got[0][1] and (len(want) < 2 or gap == want[0] - want[1])
+    assert all([s, i] in [list(w) for w in want] and vocabulary.decode(i) == text.encode() for s, i in got)
+    # the arrays of a forward pass say what the search says
+    for p in vocabulary.parts(text):
+        (score, gap, ids, _), found = next(vocabulary._together([p])), vocabulary.search(p, 2)
+        assert (score, np.frombuffer(ids, "<i4").tolist()) == (found[0][0], list(found[0][1]))
+        assert gap == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
+
+
+def test_parts_in_one_array_and_alone(vocabulary):
+    r = random.Random(9)
+    parts = ["".join(r.choice("abenthe日é\U0001f600") for _ in range(r.randint(1, 64))) for _ in range(300)]
+    for p, x in zip(parts, vocabulary._together(parts)):
+        best = vocabulary.search(p, 1)[0]
+        assert (x[0], np.frombuffer(x[2], "<i4").tolist()) == (best[0], list(best[1]))
+
 
+def test_pieces_query_against_all_paths(spark, vocabulary):
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, None])), "doc_id long, text string")
+    for x in pieces.op7_pieces(docs).collect():
+        text = ([*TEXTS, ""])[x.doc_id]
+        want = all_paths(vocabulary, text)
+        digests = [hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for _, i in want]
+        assert x.nbest_scores == [s for s, _ in want[: pieces.NBEST]] and x.best_score == want[0][0] and x.second_score == (want[1][0] if len(want) > 1 else None)
+        assert x.ids_sha256 == x.nbest_sha256[0] and len(set(x.nbest_sha256)) == len(x.nbest_scores) and set(x.nbest_sha256) <= set(digests)
+        assert x.round_trip and x.n_chars == len(text) and x.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
-@pytest.mark.parametrize("text", ["", "▁", "a▁b  c\n\n d€￼ 𐍈", "\x00\x07", "\n", "x" * 5000, "日本 🙂"])
+
+def test_nbest_column(spark, vocabulary):
+    rows = pieces.with_pieces(spark.createDataFrame([(1, "the cat sat"), (2, None)], "doc_id long, text string"), n=3).orderBy("doc_id").collect()
+    assert rows[0].pieces == rows[0].nbest[0] and rows[0].nbest == [i for _, i in vocabulary.nbest("the cat sat", 3)]
+    assert rows[1].pieces == [] and rows[1].nbest == [[]]
+
+
+@pytest.mark.parametrize("text", ["▁", "a▁b  c\n\n d€￼ 𐍈", "\x00\x07", "\n", "x" * 5000, "日本 🙂", "ab" * 30_000])
 def test_decoding_gives_the_text(vocabulary, text):
-    assert vocabulary.decode(vocabulary.encode(text)[0]) == text.encode()
+    got = vocabulary.nbest(text, 3)
+    assert all(vocabulary.decode(i) == text.encode() for _, i in got) and got[0][0] >= got[-1][0]
+
+
+def test_remembered_bytes_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 20_000)
+    v = pieces.Vocabulary.load()
+    r = random.Random(2)
+    for _ in range(40):
+        t = " ".join("".join(r.choice("abcdef") for _ in range(9)) for _ in range(50))
+        assert vars(v)["_size"] <= 10_000 and v.decode(v.nbest(t, 1)[0][1]) == t.encode()
 
 
 # chat
