@@ -184,6 +184,49 @@ def test_quality_learns(spark):
     assert held and np.mean([x.predicted == x.doc_id % 2 for x in held]) > 0.97
 
 
+def slow_score(m, text):
+    """A text's score by the formulas, passage by passage."""
+    b, size = (text or "").encode(), quality.PASSAGE_BYTES
+    n = max(1, (len(b) + size // 2 - 1) // size)
+    cuts = [k * size for k in range(n)] + [len(b)]
+    hs, es = [], []
+    for k in range(n):
+        x = np.zeros(quality.DIM)
+        for at in range(cuts[k], cuts[k + 1]):
+            x[b[at]] += 1
+            if at:
+                x[256 + (b[at - 1] * 31 + b[at] * 17) % quality.BIGRAMS] += 1
+        h = np.tanh(np.sqrt(x / max(1, cuts[k + 1] - cuts[k])) @ m.p["W"] + m.p["b"])
+        hs.append(h)
+        es.append(float((np.tanh(h @ m.p["V"]) / (1 + np.exp(-(h @ m.p["U"])))) @ m.p["w"]))
+    a = np.exp(np.array(es) - max(es))
+    z = sum(w * h for w, h in zip(a / a.sum(), hs))
+    return 1 / (1 + np.exp(-(z @ m.p["c"] + m.p["d"][0])))
+
+
+def test_quality_query_against_formulas(spark):
+    r = random.Random(3)
+    texts = [None, "", "é" * 700, "a" * 255, "a" * 256, "a" * 768] + ["".join(r.choice("abc é\n") for _ in range(r.randint(0, 3000))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    m = quality.train(docs, lab)
+    for x in quality.op6_quality(docs, lab).collect():
+        assert abs(x.score - slow_score(m, texts[x.doc_id])) < 1e-4 and x.predicted == int(x.score >= 0.7)
+
+
+def test_quality_learns_from_bounded_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a" * 2000)] * 50 + [(4, "b" * 900), (5, "c" * 900)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in (1, 4, 5)], "doc_id long, quality int, toxic int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.update(n=len(bags), passages=sum(map(len, bags))) or 0.5)
+    quality.train(docs, lab)
+    whole = dict(seen)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    quality.train(docs, lab)
+    held = sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in (1, 4, 5))
+    assert whole["n"] == 3 - held and seen["n"] < whole["n"]
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     m = quality.Model(rng, 0.1)

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from weir.llm.common import held_out, per_document
 
-#: Bounds of the sample of labelled documents on which the model is fitted, and passages of each.
+#: Bounds of the sample of labelled rows on which the model is fitted: rows, and bytes of their texts in all.
 SAMPLE_DOCS = 3000
-SAMPLE_PASSAGES = 24
+SAMPLE_BYTES = 96 << 20
 #: Bytes of a passage; a last passage of under half of it joins the one before.
 PASSAGE_BYTES = 512
 BIGRAMS = 256
@@ -118,7 +118,7 @@ def fit(bags: list[np.ndarray], labels: list[int]) -> Model | float:
             own = order[at : at + BATCH]
             sizes = [len(bags[k]) for k in own]
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            g = model.gradients(np.concatenate([bags[k] for k in own]), starts, y[own])
+            g = model.gradients(np.concatenate([bags[k] for k in own]).astype(np.float32), starts, y[own])
             step += 1
             rate = RATE * (1 - step / (steps + 1))
             for k, v in model.p.items():
@@ -130,21 +130,27 @@ def fit(bags: list[np.ndarray], labels: list[int]) -> Model | float:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
-    """Fits on at most SAMPLE_DOCS labelled documents, drawn by the hash of doc_id over all that are not held out."""
-    drawn = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "quality").limit(SAMPLE_DOCS)
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-
-    def run(rows: list) -> list[tuple]:
-        out = []
-        for i, text, q in rows:
-            x = np.concatenate(list(encode(text)))
-            if len(x) > SAMPLE_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, SAMPLE_PASSAGES).astype(int)]
-            out.append((i, q, x.astype(np.float16).tobytes()))
-        return out
-
-    rows = sorted(per_document(joined, run, ["doc_id", "text", "quality"], "doc_id long, quality int, x binary").collect())
-    return fit([np.frombuffer(r["x"], np.float16).reshape(-1, DIM).astype(np.float32) for r in rows], [r["quality"] for r in rows])
+    """Fits on whole texts, every passage of them, of labelled rows that aren't held out.
+
+    The rows are drawn by the hash of doc_id over all such rows, repeated ones once: as many of the first SAMPLE_DOCS
+    as have SAMPLE_BYTES in all. Only their keys and sizes, then their texts, reach the driver.
+    """
+    known = labels.where(F.col("quality").isNotNull() & ~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    drawn = known.orderBy(F.xxhash64("doc_id"), "quality").limit(SAMPLE_DOCS)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    sizes = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "quality", "h", F.octet_length("text").alias("n")).distinct()
+    own, left = [], SAMPLE_BYTES
+    for r in sizes.orderBy(F.xxhash64("doc_id"), "quality", "h", "n").limit(SAMPLE_DOCS).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        own.append((r["doc_id"], r["quality"], r["h"]))
+    if not own:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(sorted({(i, h) for i, _, h in own}), "doc_id long, h long")
+    got = texts.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id", "h").agg(F.min("text").alias("text"))
+    text = {(r["doc_id"], r["h"]): r["text"].encode() for r in got.collect()}
+    return fit([np.concatenate(list(encode(text[i, h]))).astype(np.float16) for i, _, h in own], [q for _, q, _ in own])
 
 
 def op6_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
