@@ -77,6 +77,44 @@ def test_language_accuracy(spark):
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= got[i].score <= 1 for i in truth)
 
 
+def test_language_query_against_plain_compression(spark):
+    """Every size again with a compressor made for each block, from a dictionary file's bytes."""
+    import zstandard
+
+    r = random.Random(4)
+    syl = {"aa": ["ka", "lo", "mi", "é"], "bb": ["sch", "ung", "ver"], "cc": ["eau", "oix", "tre"]}
+    say = lambda lang, n: " ".join("".join(r.choice(syl[lang]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, say(lang, r.choice([1, 2, 5, 20, 60, 900])) + r.choice(["", ". ", "9!"]), lang if i % 4 else None) for i, lang in enumerate(r.choice(list(syl)) for _ in range(150))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dicts = langid.dictionaries(langid.sample(df))
+    assert {k for k, _ in dicts} == set(syl)
+    for x in langid.op2_langid(df).collect():
+        data = re.sub(r"[\W\d_]+", " ", rows[x.doc_id][1].lower()).strip()
+        if len(f" {data} ".encode()) < 256:
+            w = data.split()
+            level, blocks = 19, [" " + " ".join(w[k:] + w[:k]) + " " for k in sorted({k * len(w) // 8 for k in range(8)})]
+            blocks, times = [b.encode() for b in blocks], len(blocks)
+        else:
+            raw = f" {data} ".encode()
+            level, blocks, times = 6, [raw[k : k + 4096] for k in range(0, len(raw), 4096)], 1
+
+        def size(d, b):
+            z = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+            return len(z.compress(b))
+
+        sizes = [sum(size(d, b) for b in blocks) for _, d in dicts]
+        order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
+        assert x.lang_pred == dicts[order[0]][0] and x.rejected == (sizes[order[1]] - sizes[order[0]] < langid.MARGIN * sizes[order[0]])
+        assert abs(x.score - 1 / sum(np.exp(-(s - min(sizes)) / times / 2) for s in sizes)) < 1e-9
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_PASSAGES", 20)
+    rows = [(i, f"text number {i}", "aa" if i % 10 else "bb") for i in range(2000)] + [(5, "copy", "aa")] * 3000
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {k: len(v) for k, v in got.items()} == {"aa": 20, "bb": 20} and got["aa"].count("copy") <= 1
+
+
 def test_no_letters_are_und(spark):
     df = spark.createDataFrame([(0, "abc def ghi", "xx"), (1, "123 !!", None), (2, None, None)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.op2_langid(df).collect()}

@@ -15,18 +15,20 @@ import math
 import re
 
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weir.llm.common import held_out, per_document
 
 #: Bounds of the sample on which dictionaries are built: passages a language, characters a passage.
-SAMPLE_PASSAGES = 400
+SAMPLE_PASSAGES = 240
 PASSAGE_CHARS = 600
-#: Bytes of one dictionary.
-DICT_BYTES = 112_640
+#: Bytes of one dictionary; room for the whole sample, unless its letters take many bytes.
+DICT_BYTES = 160 << 10
 #: Bytes encoded at once: small, so that the dictionary counts and not the text's own past.
 BLOCK_BYTES = 4096
+#: A text below SHORT_BYTES is few bytes in all, so it is encoded in so many orders of its words, whose bytes are added up.
+ORDERS = 8
 #: Compression levels: of most texts (lower ones find too few short matches to tell languages apart), and of texts
 #: below SHORT_BYTES, which are few bytes in all.
 LEVEL, SHORT_LEVEL, SHORT_BYTES = 6, 19, 256
@@ -43,16 +45,18 @@ def normalise(text: str) -> str:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Labelled passages by language: at most about SAMPLE_PASSAGES, drawn by the hash of doc_id over all labelled documents."""
+    """Labelled passages by language: at most SAMPLE_PASSAGES of each, those of least hash over all labelled documents, repeated rows once."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_PASSAGES / n)))])[F.col("lang")]
-    drawn = known.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < share * 1_000_000)
-    at = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(1))).cast("int") + 1
+    # a share of all 64-bit hashes that gives each language half as many again as are kept
+    upto = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min((1 << 63) - 1, int(-(1 << 63) + (1 << 64) * min(1.0, 1.5 * SAMPLE_PASSAGES / n)))))])
+    at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(1))).cast("int") + 1
+    passages = known.withColumn("h", F.xxhash64("doc_id", "text")).where(F.col("h") <= upto[F.col("lang")]).select("lang", "h", F.substring("text", at, F.lit(PASSAGE_CHARS)).alias("p"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "p"))
     out: dict[str, list[str]] = {k: [] for k in sorted(sizes, key=lambda k: (-sizes[k], k))}
-    for r in drawn.select("lang", F.substring("text", at, F.lit(PASSAGE_CHARS)).alias("p"), F.xxhash64("doc_id").alias("h")).orderBy("h", "p").limit(2 * SAMPLE_PASSAGES * len(sizes)).collect():
+    for r in passages.groupBy("lang", "h").agg(F.min("p").alias("p")).withColumn("i", first).where(F.col("i") <= SAMPLE_PASSAGES).orderBy("i", "lang").collect():
         out[r["lang"]].append(r["p"])
     return out
 
@@ -82,19 +86,25 @@ class Classifier:
             self._made[level] = made
         return self._made[level]
 
+    @staticmethod
+    def _blocks(data: bytes) -> tuple[list[bytes], int]:
+        """What is encoded, and how often the text is in it."""
+        if len(data) >= SHORT_BYTES:
+            return [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)], 1
+        words = data.split()
+        turns = sorted({k * len(words) // ORDERS for k in range(ORDERS)})
+        return [b" " + b" ".join(words[k:] + words[:k]) + b" " for k in turns], len(turns)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, rejected)."""
         if not self.dicts or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0, True
         data = normalise(text).encode()
         coders = self._compressors(SHORT_LEVEL if len(data) < SHORT_BYTES else LEVEL)
-        sizes = [0] * len(coders)
-        for at in range(0, len(data), BLOCK_BYTES):
-            block = data[at : at + BLOCK_BYTES]
-            for i, c in enumerate(coders):
-                sizes[i] += len(c.compress(block))
+        blocks, each = self._blocks(data)
+        sizes = [sum(len(c.compress(b)) for b in blocks) for c in coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
-        total = sum(math.exp(-min(60.0, (s - sizes[best]) * 0.5)) for s in sizes)
+        total = sum(math.exp(-min(60.0, (s - sizes[best]) / each * 0.5)) for s in sizes)
         rivals = [s for i, s in enumerate(sizes) if i != best]
         narrow = bool(rivals) and min(rivals) - sizes[best] < MARGIN * sizes[best]
         return self.dicts[best][0], 1.0 / total, narrow
