@@ -14,7 +14,10 @@ by ``mask`` and ignored otherwise. A missing ``source`` is an empty path.
 
 from __future__ import annotations
 
+import itertools
+import json
 import random
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +43,31 @@ _FORMAT = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z
 _PEM = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----"
 _KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}.*|-----BEGIN [\s\S]*)$"
 _CUE = r"key|token|secret|passw|pwd|credential|auth|bearer|login"
-_ANTI = r"sha|commit|checksum|md5|hash|uuid|guid|digest|etag|isbn|order|invoice|revision|build|integrity|color|image|base64,|version|\bid\b"
+_ANTI = r"(?<![a-z])(?:sha|commit|checksum|md5|hash|uuid|guid|digest|etag|isbn|order|invoice|revision|build|integrity|color|image|base64,|version|id\b)"
 _MOCK = r"example|dummy|placeholder|changeme|sample|your[-_]?|xxxx|<|\$\{|\btest|todo|1234567"
-_WORDS = "the|and|ing|ion|ent|for|that|with|this|from|have|not|are|was|you|all|one|new|use|get|set|name|value|user|data|file|page|list|item|type|time|date|test|main|config|path|class|index|table|model|button|header|content|image|default|string|number|function|return|example|password|secret|token|key|access|api|id"
+#: A public tokenizer's vocabulary whose ids go by frequency: its first whole words are the dictionary.
+WORDS_FILE, WORDS = "/opt/tokenizers/word_bpe_49k.json", 4000
+#: Runs of letters that could be words: of small letters, with a capital before them or not, or of capitals.
+_RUN = "[A-Z]?[a-z]{2,}|[A-Z]{3,}"
+
+
+@lru_cache(maxsize=4)
+def dictionary(path: str = WORDS_FILE) -> tuple[str, ...]:
+    """Words of three letters or more, the most frequent ones."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (re.fullmatch("([a-z]{3,})</w>", x) for x in sorted(ids, key=ids.get))
+    return tuple(itertools.islice((m[1] for m in words if m), WORDS))
+
+
+@lru_cache(maxsize=4)
+def transitions(path: str = WORDS_FILE) -> tuple[float, ...]:
+    """log2 of the chance of each letter after each letter (27 x 27, 0 is a word's end) in the dictionary."""
+    n = np.full((27, 27), 0.1)
+    for w in dictionary(path):
+        at = [0, *(ord(c) - 96 for c in w), 0]
+        np.add.at(n, (at[:-1], at[1:]), 1)
+    return tuple(np.log2(n / n.sum(axis=1, keepdims=True)).ravel().round(2).tolist())
 
 
 def candidates(text: Column, path: Column) -> Column:
@@ -65,7 +90,26 @@ def candidates(text: Column, path: Column) -> Column:
     return F.transform(around, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), features(c, path).alias("x")))
 
 
-FEATURES = 17
+FEATURES = 19
+
+
+def _covered(v: Column) -> Column:
+    """How many letters of v are in words of the dictionary."""
+    runs = F.transform(F.regexp_extract_all(v, F.lit(_RUN), F.lit(0)), F.lower)
+    return F.aggregate(F.filter(runs, lambda w: w.isin(*dictionary())), F.lit(0), lambda n, w: n + F.length(w))
+
+
+def _transitions(low: Column) -> Column:
+    """The mean score of the steps between the letters of v; 0 without any."""
+    table = F.split(F.lit(",".join(map(str, transitions()))), ",").cast("array<double>")
+
+    def mean(codes: Column) -> Column:
+        steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.when(a.between(1, 26) & b.between(1, 26), F.get(table, a * 27 + b)))
+        steps = F.filter(steps, lambda x: x.isNotNull())
+        return F.when(F.size(steps) > 0, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / F.size(steps)).otherwise(0.0)
+
+    codes = F.transform(F.split(low, ""), lambda c: F.ascii(c) - 96)
+    return F.element_at(F.transform(F.array(codes), mean), 1)
 
 
 def features(c: Column, path: Column) -> Column:
@@ -75,10 +119,10 @@ def features(c: Column, path: Column) -> Column:
     changes = F.size(F.split(v, r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z0-9])(?=[^A-Za-z0-9])", -1)) - 1
     x = [
         F.length(v), F.length(only(v, "0-9")) / n, F.length(only(v, "A-Z")) / n, F.length(only(v, "a-z")) / n, changes / n,
-        (n - F.length(F.regexp_replace(low, _WORDS, ""))) / n, F.length(only(low, "aeiou")) / n,
-        F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(64))), lambda i: F.substring(v, i, F.lit(1))))) / F.least(n, F.lit(64)),
-        flag(v.rlike("^[0-9a-f]+$|^[0-9A-F]+$")), flag(v.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")), flag(v.rlike("^[0-9_+/=-]+$")), flag(v.rlike(_KNOWN)),
+        _covered(v) / n, F.length(only(low, "aeiou")) / n, F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)),
+        flag(v.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$")), flag(v.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")), flag(v.rlike("^[0-9_+/=-]++$")), flag(v.rlike(_KNOWN)),
         flag(left.rlike(_CUE)), flag(left.rlike(_ANTI)), flag(low.rlike(_MOCK) | left.rlike(_MOCK) | right.rlike(_MOCK)), flag(left.rlike(r"[:=]>? {0,2}[\"'`]?$|bearer $")), flag(F.lower(path).rlike("test|example|fixture|docs|mock")),
+        _transitions(low), F.length(F.regexp_replace(v, "[A-Za-z0-9]", "")) / n,
     ]
     return F.array(*[f.cast("double") for f in x])
 
@@ -100,6 +144,7 @@ def _examples() -> list[tuple[str, str, int]]:
         lambda: name() + is_() + q(s(b62 + "+/", 40)),
         lambda: "token = " + '"' + s(hexa, 40) + '"',
         lambda: r.choice(["password", "passwd", "db_pwd"]) + is_() + q(s(b62 + "!@#%&*", r.randint(10, 18))),
+        lambda: r.choice(["password", "app.db.password", "passwd", "PGPASSWORD"]) + is_() + q((w() + w()).capitalize()[:7].ljust(5, "n") + s(digit, r.randint(1, 3)) + s(b62 + "!@", r.randint(2, 6))),
         lambda: q("AKIA" + s(up + digit, 16)),
         lambda: q("ghp_" + s(b62, 36)),
         lambda: q("sk_live_" + s(b62, 24)),
@@ -127,7 +172,7 @@ def _examples() -> list[tuple[str, str, int]]:
         for make in makers:
             for k in range(EXAMPLES):
                 before, after = (" ".join(w() for _ in range(r.randint(0, 5))) for _ in range(2))
-                end = r.choice(["", ".", "###", "***", "%%%", "!!"]) if make not in (yes[4],) else ""
+                end = r.choice(["", ".", "###", "***", "%%%", "!!"]) if make not in yes[4:6] else ""
                 path = r.choice(["src0", "src7", "src/app", "web"]) if label or k % 3 else r.choice(["tests/fixtures", "docs/example"])
                 out.append((f"{before} {make()}{end} {after}".strip(), path, label))
     r.shuffle(out)
