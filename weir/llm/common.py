@@ -64,13 +64,17 @@ def per_document(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-#: Bits of an id filter; at most FILTER_BITS / 64 rows are broadcast, whatever the input.
-FILTER_BITS = 1 << 24
+#: Bits of an id filter: so many for each id, and never more than these; a full filter only lets more rows through.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 27
 
 
 def _inside(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
-    """A bit filter of the ids, of bounded size and broadcast, and whether a row of df is inside of it."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    """A bit filter of the ids, of bounded size and broadcast (MOST_BITS / 64 rows at most), and whether a row of df is inside of it."""
+    size = LEAST_BITS
+    many = ids.count() * BITS_EACH
+    while size < min(many, MOST_BITS):
+        size *= 2
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(size))
     words = ids.select(bit(column).alias("b")).groupBy(F.floor(F.col("b") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("b") % 64).cast("int"))).alias("bits"))
     words = F.broadcast(cut(words))
     return words, (F.floor(bit(df[column]) / 64) == words["w"]) & (F.getbit(words["bits"], (bit(df[column]) % 64).cast("int")) == 1)
@@ -88,8 +92,29 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
 
 
 def with_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """Rows of df whose column is in ids; like without_ids, rows outside of the filter aren't moved."""
-    return df.join(*_inside(df, ids, column), "left_semi").join(ids, column, "left_semi").select(*df.columns)
+    """Rows of df whose column is in ids, and a few others: those outside of a bit filter are left out, and none is moved."""
+    return df.join(*_inside(df, ids, column), "left_semi")
+
+
+def with_values(df: DataFrame, values: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with the other columns of values, which has each id once; null where it has none. As in without_ids, few rows are moved."""
+    words, inside = _inside(df, values, column)
+    sure = df.join(words, inside, "left_anti").select(*df.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in values.schema.fields if f.name != column])
+    return sure.union(df.join(words, inside, "left_semi").join(values, column, "left").select(*sure.columns))
+
+
+def spread_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """df joined with table, which has each key once and the number n of df's rows with it.
+
+    Keys with over 1/1000 of df's rows (so at most 1000 of them) are joined by broadcast, wherever their rows are.
+    """
+    least = max(df.count() / 1000, 1)
+    columns = [*df.columns, *[c for c in table.columns if c not in (key, "n")]]
+    hot = table.where(F.col("n") > least).drop("n")
+    keys = F.broadcast(hot.select(key))
+    often = df.join(F.broadcast(hot), key).select(*columns)
+    rest = df.join(keys, key, "left_anti").join(table.where(F.col("n") <= least).drop("n"), key)
+    return often.union(rest.select(*columns))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

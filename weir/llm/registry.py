@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from weir.llm import chat, decontam, langid, mpegts, pieces, pii, quality, secrets, simhash, suffix
+from weir.llm import chat, decontam, langid, mpegts, pieces, pii, pipeline, quality, secrets, simhash, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_chat": lambda s, d: chat.op8_chat(table(s, d, "conversations")),
         "op9_decontam": lambda s, d: decontam.op9_decontam(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_suffix": lambda s, d: suffix.op10_suffix(table(s, d, "documents")),
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

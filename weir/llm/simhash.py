@@ -27,8 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weir.llm import jaccard
-from weir.llm.common import connected_components, cut, per_document, without_ids
+from weir.llm.common import connected_components, cut, per_document, spread_join
 
 TAU = 2
 #: Fingerprints in one bucket beyond which it takes the linear way.
@@ -48,7 +47,11 @@ def fingerprint(text: bytes | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-    h = np.array([digest(s, _SEED) for s in shingles], dtype=np.uint64)
+    return majority(np.array([digest(s, _SEED) for s in shingles], dtype=np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half of some hashes have, as a signed integer; 0 for none."""
     bits = np.zeros(64, dtype=np.int64)
     for at in range(0, len(h), 65536):  # long texts in bounded memory
         bits += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -253,27 +256,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     # only fingerprints in components of their own kind need the smallest id of others
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     table = rooted.join(least, "root").select("fp", "n", "component_id")
-    return spread_join(docs_fp, table)
-
-
-def spread_join(docs_fp: DataFrame, table: DataFrame) -> DataFrame:
-    """docs_fp with its fingerprint's component; fingerprints with over 1/1000 of all rows (so at most 1000 of them) by broadcast."""
-    total = docs_fp.count()
-    hot = table.where(F.col("n") > max(total / 1000, 1)).select("fp", F.col("component_id").alias("hot_id"))
-    some = docs_fp.join(F.broadcast(hot), "fp", "left")
-    rest = some.where("hot_id IS NULL").join(table.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    return rest.union(some.where("hot_id IS NOT NULL").select("doc_id", "fp", F.col("hot_id")))
+    return spread_join(docs_fp, table, "fp")
 
 
 def op1_simhash(docs: DataFrame) -> DataFrame:
     out = simhash_components(docs)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component, the document with the smallest doc_id stays, all its columns with it.
-
-    Near copies are those of ``jaccard``, not fingerprints within TAU bits: few edits move a fingerprint further.
-    Rows that repeat a doc_id stay or go together; rows without a doc_id stay.
-    """
-    return without_ids(docs, cut(jaccard.later_copies(docs.select("doc_id", "text")).distinct()))
