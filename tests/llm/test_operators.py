@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -190,6 +191,68 @@ def test_transport_stream_damage():
     assert mpegts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def packet(pid, body, counter=0, starts=True):
+    return struct.pack(">BHB", 0x47, (0x4000 if starts else 0) | pid, 0x10 | counter) + body.ljust(184, b"\xff")
+
+
+def section(kind, data):
+    s = struct.pack(">BH", kind, 0xB000 | (len(data) + 4)) + data
+    return s + struct.pack(">I", mpegts.crc32_mpeg(s))
+
+
+def test_section_over_packets_and_other_streams():
+    """A map table of 60 streams goes over two packets; the stream is video with decoding stamps."""
+    pat = packet(0, b"\0" + section(0, struct.pack(">HBBBHH", 1, 0xC1, 0, 0, 1, 0xE000 | 0x100)))
+    streams = b"".join(struct.pack(">BHH", 0x1B, 0xE000 | (0x200 + k), 0xF000) for k in range(60))
+    pmt = b"\0" + section(2, struct.pack(">HBBBHH", 1, 0xC1, 0, 0, 0xE200, 0xF000) + streams)
+    stamps = b"\x31" + mpegts._pts(9000)[1:] + b"\x11" + mpegts._pts(6000)[1:]
+    pes = b"\0\0\1\xe0" + struct.pack(">H", 3 + 10 + 5) + b"\x80\xc0\x0a" + stamps + b"video"
+    fill = 184 - len(pes) - 2
+    es = struct.pack(">BHBB", 0x47, 0x4000 | 0x200, 0x30, fill + 1) + b"\0" + b"\xff" * fill + pes
+    d = mpegts.demux(pat + packet(0x100, pmt[:184], 0) + packet(0x100, pmt[184:], 1, False) + es)
+    assert len(d.streams) == 60 and d.streams[0x23B] == 0x1B and d.table_errors == 0
+    assert d.payload == b"video" and d.units == [(9000, False, 5, 6000)] and d.damaged_units == 0
+
+
+def test_odd_table_is_no_crash():
+    d = mpegts.demux(packet(0, b"\0" + section(0, struct.pack(">HBBBHH", 1, 0xC1, 0, 0, 1, 0xE100) + b"xx")))
+    assert d.programs == {1: 0x100} and d.table_errors == 1
+    d = mpegts.demux(packet(0, b"\0" + section(0, b"")))
+    assert d.table_errors == 1 and not d.programs
+
+
+def test_no_bytes_crash_the_reader():
+    r = random.Random(12)
+    good = mpegts.mux(mpegts.pad(b"y" * 30_000))
+    for k in range(300):
+        b = bytearray(good)
+        for _ in range(r.randint(1, 60)):
+            b[r.randrange(len(b))] = r.randrange(256)
+        if k % 3 == 0:
+            del b[r.randrange(len(b)) :]
+        if k % 5 == 0:  # a table with a right checksum and any content
+            b[188:188] = packet(r.choice([0, 0x1000]), b"\0" + section(r.choice([0, 2]), r.randbytes(r.randint(0, 150))))
+        mpegts.demux(bytes(b))
+        mpegts.demux(r.randbytes(r.randint(0, 2000)))
+    assert mpegts.demux(b"").payload == b""
+
+
+def test_media_query_against_plain_digests(spark):
+    r = random.Random(13)
+    texts = [None, "", " ", "é" * 96, "a" * 191, "a" * 192, "a" * 193, "z" * 50_000] + ["".join(r.choice("ab é\n😀") for _ in range(r.randint(0, 900))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*texts, texts[7]])], "doc_id long, text string, media string")
+    stored = {x.doc_id: bytes(x.media) for x in mpegts.store(docs).collect()}
+    got = {x.doc_id: x for x in mpegts.op4_mpegts(docs).collect()}
+    for i, t in enumerate([*texts, texts[7]]):
+        raw = (t or "").encode()
+        padded = raw + b" " * (-len(raw) % 192 if raw else 192)
+        x, media = got[i], stored[i]
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
+        assert (x.media_bytes, x.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert f"mean={sum(padded) * 1000 // len(padded)};peak={max(padded)}" in x.feature and "errors=0;" in x.feature
+    assert {**got[7].asDict(), "doc_id": 0} == {**got[len(texts)].asDict(), "doc_id": 0}
+
+
 def test_timeline(spark):
     df = spark.createDataFrame([(1, "a" * 30_000)], "doc_id long, text string")
     got = mpegts.timeline(mpegts.store(df)).orderBy("pts").collect()

@@ -2,13 +2,15 @@
 
 ``mux`` writes program tables, packetised elementary packets with time stamps
 and random-access points. ``demux`` trusts nothing of that: it parses the
-association and map tables (with their checksums), checks continuity counters
-of each packet id, reassembles elementary packets and returns time stamps with
+association and map tables (with their checksums, also where a section goes on
+in later packets), checks continuity counters of each packet id, reassembles
+the elementary packets of one stream, of any type, and returns time stamps with
 random-access points.
 
 A null text is an empty one, and an empty one is padded as any other. Equal
 texts give equal streams. Repeated rows are kept; an empty table gives an empty
-result; a damaged stream gives what could be read, with its errors counted.
+result; other columns are ignored, whatever their names. A damaged stream, or
+bytes that are none, give what could be read, with its errors counted.
 """
 
 from __future__ import annotations
@@ -104,31 +106,76 @@ class Demuxed:
     programs: dict[int, int] = field(default_factory=dict)
     streams: dict[int, int] = field(default_factory=dict)
     payload: bytes = b""
-    #: (pts, is a random-access point, bytes) of each elementary packet
-    units: list[tuple[int, bool, int]] = field(default_factory=list)
+    #: (pts, is a random-access point, bytes, dts) of each elementary packet; -1 where it has no such stamp
+    units: list[tuple[int, bool, int, int]] = field(default_factory=list)
     packets: int = 0
     continuity_errors: int = 0
     table_errors: int = 0
     damaged_units: int = 0
 
 
-def _section(body: bytes, d: Demuxed) -> bytes | None:
-    if not body or len(body) < 4 + body[0]:
-        d.table_errors += 1
-        return None
-    s = body[1 + body[0] :]
-    end = 3 + (struct.unpack_from(">H", s, 1)[0] & 0x0FFF)
-    if end > len(s) or crc32_mpeg(s[:end]) != 0:
-        d.table_errors += 1
-        return None
-    return s[: end - 4]
+class _Sections:
+    """Puts the sections of one packet id together, from the payloads of its packets."""
+
+    def __init__(self):
+        self.held: bytes | None = None
+
+    def lost(self) -> None:
+        self.held = None
+
+    def add(self, body: bytes, starts: bool, d: Demuxed) -> list[bytes]:
+        """Whole sections that end in this payload, without their checksums; damaged ones are counted."""
+        out: list[bytes] = []
+        if starts:
+            skip = body[0] if body else 0
+            if not body or 1 + skip > len(body):
+                d.table_errors += 1
+                self.held = None
+                return out
+            if self.held is not None:
+                self.held += body[1 : 1 + skip]
+                self._take(out, d)
+                if self.held:
+                    d.table_errors += 1  # cut off by the next one
+            self.held = body[1 + skip :]
+        elif self.held is None:
+            return out
+        else:
+            self.held += body
+        self._take(out, d)
+        return out
+
+    def _take(self, out: list[bytes], d: Demuxed) -> None:
+        while self.held:
+            if self.held[0] == 0xFF:  # stuffing
+                self.held = None
+                return
+            if len(self.held) < 3:
+                return
+            end = 3 + (struct.unpack_from(">H", self.held, 1)[0] & 0x0FFF)
+            if end > len(self.held):
+                return
+            s, self.held = self.held[:end], self.held[end:]
+            if end < 12 or crc32_mpeg(s) != 0:
+                d.table_errors += 1
+            else:
+                out.append(s[:-4])
+
 
+def _stamp(b: bytes) -> int:
+    return (b[0] >> 1 & 7) << 30 | b[1] << 22 | (b[2] >> 1) << 15 | b[3] << 7 | b[4] >> 1
 
-def demux(stream: bytes) -> Demuxed:
-    """Reads the first private elementary stream of a transport stream."""
+
+#: Stream ids whose packets have no header after their length.
+_BARE = {0xBC, 0xBE, 0xBF, 0xF0, 0xF1, 0xF2, 0xF8, 0xFF}
+
+
+def demux(stream: bytes, pid: int | None = None) -> Demuxed:
+    """Reads one elementary stream of a transport stream: that of a packet id, or the first private one, or else the first."""
     d = Demuxed()
     last: dict[int, int] = {}
-    seen: dict[bytes, bytes | None] = {}
+    sections: dict[int, _Sections] = {}
+    seen: dict[bytes, list[bytes]] = {}
     chunks: list[bytes] = []
     unit: list[bytes] | None = None
     unit_rap = broken = False
@@ -139,29 +186,49 @@ def demux(stream: bytes) -> Demuxed:
             return
         pes = b"".join(unit)
         unit = None
-        if len(pes) < 9 or pes[:3] != b"\x00\x00\x01":
+        if len(pes) < 6 or pes[:3] != b"\x00\x00\x01" or (pes[3] not in _BARE and len(pes) < 9):
             d.damaged_units += 1
             return
         size = struct.unpack_from(">H", pes, 4)[0]
-        start = 9 + pes[8]
+        start = 6 if pes[3] in _BARE else 9 + pes[8]
         data = pes[start : 6 + size] if size else pes[start:]
-        pts = -1
-        if pes[7] & 0x80 and pes[8] >= 5:
-            a, b, c, e, f = pes[9:14]
-            pts = (a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | e << 7 | f >> 1
-        d.damaged_units += broken or (size != 0 and len(pes) < 6 + size)
-        d.units.append((pts, unit_rap, len(data)))
+        pts = dts = -1
+        if start >= 14 and len(pes) >= 14 and pes[7] & 0x80:
+            pts = dts = _stamp(pes[9:14])
+            if start >= 19 and len(pes) >= 19 and pes[7] & 0x40:
+                dts = _stamp(pes[14:19])
+        d.damaged_units += bool(broken or start > len(pes) or (size != 0 and len(pes) < 6 + size))
+        d.units.append((pts, unit_rap, len(data), dts))
         chunks.append(data)
 
-    es = None
+    def tables(own: int, found: list[bytes]) -> None:
+        nonlocal es
+        for s in found:
+            if own == 0 and s[0] == 0x00:
+                entries = s[8 : 8 + (len(s) - 8) // 4 * 4]
+                d.table_errors += len(entries) != len(s) - 8
+                d.programs = {n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", entries) if n}
+            elif own != 0 and s[0] == 0x02:
+                k = 12 + (struct.unpack_from(">H", s, 10)[0] & 0x0FFF) if len(s) >= 12 else len(s) + 1
+                while k + 5 <= len(s):
+                    kind, epid, info = struct.unpack_from(">BHH", s, k)
+                    d.streams[epid & 0x1FFF] = kind
+                    k += 5 + (info & 0x0FFF)
+                d.table_errors += k != len(s)
+        if es is None or es not in d.streams:
+            private = [p for p, kind in d.streams.items() if kind == STREAM_TYPE]
+            es = pid if pid is not None else next(iter(private or d.streams), None)
+
+    es = pid
+    d.continuity_errors += len(stream) % 188 != 0
     for at in range(0, len(stream) - 187, 188):
         if stream[at] != 0x47:
             d.continuity_errors += 1
             continue
         d.packets += 1
         head = stream[at + 1] << 8 | stream[at + 2]
-        pid, ctl = head & 0x1FFF, stream[at + 3]
-        if pid == NULL_PID:
+        own, ctl = head & 0x1FFF, stream[at + 3]
+        if own == NULL_PID:
             continue
         start, rap, jump = at + 4, False, False
         if ctl & 0x20:
@@ -172,35 +239,34 @@ def demux(stream: bytes) -> Demuxed:
         if not ctl & 0x10:
             continue
         cc = ctl & 15
-        before = last.get(pid)
+        before = last.get(own)
         if before is not None and not jump:
             if cc == before:  # a repeated packet is sent twice by intention
                 continue
             if cc != (before + 1) & 15:
                 d.continuity_errors += 1
-                broken = broken or (pid == es and unit is not None)
-        last[pid] = cc
+                broken = broken or (own == es and unit is not None)
+                if own in sections:
+                    sections[own].lost()
+        last[own] = cc
         body = stream[start : at + 188]
-        if pid == es:
+        if own == es:
             if head & 0x4000:
                 close()
-                unit, unit_rap, broken = [body], rap, False
+                unit, unit_rap, broken = [body], rap, bool(head & 0x8000)
             elif unit is not None:
                 unit.append(body)
-        elif pid == 0 or pid in d.programs.values():
-            if head & 0x4000:
-                s = seen[body] if body in seen else seen.setdefault(body, _section(body, d))
-                if s is None:
-                    continue
-                if pid == 0:
-                    d.programs = {n: p & 0x1FFF for n, p in struct.iter_unpack(">HH", s[8:]) if n}
-                else:
-                    k = 12 + (struct.unpack_from(">H", s, 10)[0] & 0x0FFF)
-                    while k + 5 <= len(s):
-                        kind, epid, info = struct.unpack_from(">BHH", s, k)
-                        d.streams[epid & 0x1FFF] = kind
-                        k += 5 + (info & 0x0FFF)
-                    es = next((p for p, kind in d.streams.items() if kind == STREAM_TYPE), None)
+                broken = broken or bool(head & 0x8000)
+        elif own == 0 or own in d.programs.values():
+            waits = sections.setdefault(own, _Sections())
+            if head & 0x4000 and not waits.held and body in seen:
+                continue  # a table that is sent again
+            whole = head & 0x4000 and not waits.held
+            errors = d.table_errors
+            found = waits.add(body, bool(head & 0x4000), d)
+            tables(own, found)
+            if whole and not waits.held and d.table_errors == errors:
+                seen[body] = found
     close()
     d.payload = b"".join(chunks)
     return d
@@ -231,6 +297,7 @@ def digest(text: bytes | None) -> tuple:
 
 
 def op4_mpegts(docs: DataFrame) -> DataFrame:
+    """One row a document: digests of its stream and of what is read back from it, and features of both."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_units long, n_raps long, last_pts long"
     return per_document(docs, lambda rows: [(i, *digest(t)) for i, t in rows], ["doc_id", "text"], schema)
 
@@ -241,16 +308,18 @@ def store(docs: DataFrame) -> DataFrame:
 
 
 def timeline(media: DataFrame) -> DataFrame:
-    """(doc_id, pts, is_rap, n_bytes) of every elementary packet in column media."""
+    """(doc_id, pts, is_rap, n_bytes, dts) of every elementary packet in column media."""
     from pyspark.sql import functions as F
 
     def run(rows: list) -> list[tuple]:
         out = []
         for i, m in rows:
             u = demux(m or b"").units
-            out.append((i, [x[0] % (1 << 31) for x in u], [int(x[0] >> 31) for x in u], [int(x[1]) for x in u], [x[2] for x in u]))
+            halves = [[x[k] % (1 << 31) for x in u] for k in (0, 3)] + [[x[k] >> 31 for x in u] for k in (0, 3)]
+            out.append((i, *halves, [int(x[1]) for x in u], [x[2] for x in u]))
         return out
 
-    z = per_document(media, run, ["doc_id", "media"], "doc_id long, lo array<int>, hi array<int>, rap array<int>, size array<int>")
-    x = z.select("doc_id", F.explode(F.arrays_zip("lo", "hi", "rap", "size")).alias("u"))
-    return x.select("doc_id", (F.col("u.hi").cast("long") * (1 << 31) + F.col("u.lo")).alias("pts"), (F.col("u.rap") == 1).alias("is_rap"), F.col("u.size").cast("long").alias("n_bytes"))
+    z = per_document(media, run, ["doc_id", "media"], "doc_id long, plo array<int>, dlo array<int>, phi array<int>, dhi array<int>, rap array<int>, size array<int>")
+    x = z.select("doc_id", F.explode(F.arrays_zip("plo", "dlo", "phi", "dhi", "rap", "size")).alias("u"))
+    stamp = lambda a: (F.col(f"u.{a}hi").cast("long") * (1 << 31) + F.col(f"u.{a}lo")).alias(f"{a}ts")
+    return x.select("doc_id", stamp("p"), (F.col("u.rap") == 1).alias("is_rap"), F.col("u.size").cast("long").alias("n_bytes"), stamp("d"))
