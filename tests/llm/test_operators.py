@@ -444,22 +444,64 @@ def test_remembered_bytes_are_bounded(monkeypatch):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 0, "system", "be [kind] </s>"), (1, 1, "user", "a \\ <|turn|> b"), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 4, "assistant", "é<|end|>\\l\\\\b"), (2, 0, "assistant", "solo"), (2, 0, "assistant", "solo"), (None, 0, "user", "n"), (3, None, "user", "first"), (3, 0, "assistant", "w " * 5000)]
+    rows = [(1, 0, "system", "be [kind] </s>"), (1, 1, "user", "a \\ <|turn|> b"), (1, 2, "assistant", None), (1, 3, None, "x"), (1, 4, "assistant", "é<|end|>\\l\\\\b"), (2, 0, "assistant", "solo"), (2, 0, "assistant", "solo"), (None, 0, "user", "n"), (3, None, "user", "first"), (3, -3000, "user", "early"), (3, 0, "assistant", "w " * 5000)]
     r = random.Random(5)
+    rows += [(5, None if k % 2 else 7, "assistant", "same" if k % 3 else f"t{k}") for k in range(200)]
     rows += [(4, k, r.choice(["user", "assistant"]), "".join(r.choice("ab\\<[|>l\n") for _ in range(r.randint(0, 400)))) for k in range(40)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, k int")
     got = {x.conv_id: x for x in chat.op8_chat(df).collect()}
     convs = {}
     for c, t, role, text in rows + [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]:
-        convs.setdefault(c, []).append((-1 if t is None else t, role or "", text or ""))
+        convs.setdefault(c, []).append((t, role or "", text or ""))
     assert set(got) == set(convs)
     for c, ts in convs.items():
-        ts.sort()
+        ts.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1], hashlib.md5(x[2].encode()).digest()))
         told = "".join(f"{a}\n{b}\n" for _, a, b in ts)
         loss = "".join(b for _, a, b in ts if a == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(ts), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()), c
 
 
+def test_chat_of_nothing(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, w string, k string")
+    assert chat.windows(none).count() == 0 and [x.conv_id for x in chat.op8_chat(none).collect()] == [-1]
+
+
+def slow_windows(rows):
+    """{(conv, window): (text, n_repeated, loss)} of rows in order, turn by turn."""
+    out, n = {}, lambda t: -(-len(t.encode()) // 4) + 4
+    esc = lambda t: t.replace("\\", "\\\\").replace("<", "\\l").replace("[", "\\b")
+    for c in {x[0] for x in rows}:
+        ts = sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is not None, x[1] or 0, x[2], hashlib.md5(x[3].encode()).digest()))
+        at, spans = 0, {}
+        for k, (_, _, role, text) in enumerate(ts):
+            spans.setdefault(at // chat.STRIDE, []).append((k, at, role, text))
+            at += n(text)
+        for w, own in spans.items():
+            head = [x for x in spans.get(w - 1, []) if x[1] >= own[0][1] - chat.HISTORY and not (x[0] == 0 and x[2] == "system")]
+            if ts[0][2] == "system" and own[0][0] > 0:
+                head.insert(0, (0, 0, "system", ts[0][3]))
+            text, loss = "", []
+            for k, _, role, t in head + own:
+                lead = f"{chat.START}{esc(role)}{chat.MIDDLE}"
+                if role == "assistant" and k >= own[0][0]:
+                    loss.append((len(text) + len(lead), len(text) + len(lead) + len(esc(t))))
+                text += lead + esc(t) + chat.END
+            out[c, w] = (text, len(head), loss)
+    return out
+
+
+def test_chat_windows_against_plain_loop(spark):
+    r = random.Random(15)
+    rows = []
+    for c in range(6):
+        if c % 2:
+            rows.append((c, -5, "system", "be kind <s>" * r.randint(0, 20)))
+        rows += [(c, r.choice([None, k, k // 3]), r.choice(["user", "assistant"]), "".join(r.choice("ab [<\\é") for _ in range(r.choice([0, 5, 300, 3000])))) for k in range(r.randint(0, 90))]
+    rows += rows[-3:] * 5
+    got = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()
+    assert {(x.conv_id, x.window): (x.text, x.n_repeated, [(s.start, s.end) for s in x.loss]) for x in got} == slow_windows(rows)
+
+
 def test_chat_windows_hold_budget(spark):
     rows = [(1, 0, "system", "s" * 40)] + [(1, k, "user" if k % 2 else "assistant", "t" * 200) for k in range(1, 60)]
     out = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect()

@@ -7,12 +7,16 @@ tokens, then the span's own turns. Loss falls on the span's own assistant turns
 only, so a repeated target is masked. A turn is never split; one of more than a
 stride makes its window that much longer.
 
-The sums are taken in blocks of turns and then over blocks, so a conversation
-that holds a third of all rows is spread over tasks.
+Turns are numbered without their texts: narrow rows (a digest instead of a text)
+are cut into ranges of the order over all conversations, summed up within a
+range and then over ranges, so a conversation that holds a third of all rows, or
+whose turns are all alike, is spread over tasks. Texts are moved to their places
+once, equal ones of one turn as one, and once more to their windows.
 
 Null texts and roles are empty. Turns with equal numbers follow each other by
-role and text, all kept; null numbers come first. Rows without conv_id are one
-conversation. An empty table gives an empty result, extra columns are ignored.
+role and the MD5 digest of their text, all kept; null numbers come first. Rows
+without conv_id are one conversation. An empty table gives an empty result,
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weir.llm.common import cut
+
 #: Tokens of a window's own turns, and of the repeated history before them (at most a stride).
 STRIDE, HISTORY = 512, 128
-#: Turns of one block of prefix sums.
-BLOCK = 1024
 
 START, MIDDLE, END = "<|turn|>", "<|text|>", "<|end|>\n"
 
@@ -48,26 +52,32 @@ def windows(turns: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> D
     """(conv_id, window, text, n_repeated, loss): loss has [start, end) of code points of text."""
     if not 0 <= history <= stride:
         raise ValueError("history must be between 0 and stride")
-    t = turns.select(
-        F.struct("conv_id").alias("k"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumns({"n": tokens(F.col("text")), "b": F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)})
-    order = [F.col("turn").asc_nulls_first(), "role", "text"]
+    t = turns.select(F.struct("conv_id").alias("k"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    t = t.withColumns({"n": tokens(F.col("text")), "h": F.unhex(F.md5(F.col("text").cast("binary")))})
+    q = ["k", "turn", "role", "h"]
+    order = [F.col("turn").asc_nulls_first(), "role", "h"]
     upto = Window.unboundedPreceding
-    sums = t.groupBy("k", "b").agg(F.sum("n").alias("s"), F.count(F.lit(1)).alias("m"))
-    over = Window.partitionBy("k").orderBy("b").rowsBetween(upto, -1)
-    sums = sums.select("k", "b", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("s0"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("m0"))
-    within = Window.partitionBy("k", "b").orderBy(*order)
-    t = t.withColumns({"at": F.sum("n").over(within.rowsBetween(upto, 0)) - F.col("n"), "i": F.row_number().over(within)})
-    t = t.join(sums, ["k", "b"]).withColumns({"at": F.col("at") + F.col("s0"), "i": F.col("i") + F.col("m0")}).drop("s0", "m0", "b")
-    t = t.withColumn("w", F.floor(F.col("at") / stride))
-    starts = t.groupBy("k", "w").agg(F.min("at").alias("s"))
+    # m equal turns are one row of m turns
+    narrow = t.groupBy(*q).agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    ranged = cut(narrow.repartitionByRange("k", *order).withColumn("p", F.spark_partition_id()))
+    sums = ranged.groupBy("k", "p").agg(F.sum(F.col("n") * F.col("m")).alias("s"), F.sum("m").alias("c"))
+    over = Window.partitionBy("k").orderBy("p").rowsBetween(upto, -1)
+    sums = sums.select("k", "p", F.coalesce(F.sum("s").over(over), F.lit(0)).alias("s0"), F.coalesce(F.sum("c").over(over), F.lit(0)).alias("c0"))
+    within = Window.partitionBy("k", "p").orderBy(*order).rowsBetween(upto, 0)
+    placed = ranged.withColumns({"at": F.sum(F.col("n") * F.col("m")).over(within) - F.col("n") * F.col("m"), "i": F.sum("m").over(within) - F.col("m")}).join(sums, ["k", "p"])
+    placed = placed.select(*q, "n", (F.col("at") + F.col("s0")).alias("at"), (F.col("i") + F.col("c0")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
+    placed = placed.select(F.struct(*q).alias("q"), "k", "role", (F.col("i") + F.col("j") + 1).alias("i"), (F.col("at") + F.col("j") * F.col("n")).alias("at"))
+    placed = cut(placed.withColumn("w", F.floor(F.col("at") / stride)))
+    starts = placed.groupBy("k", "w").agg(F.min("at").alias("s"))
     before = starts.select("k", (F.col("w") - 1).alias("w"), F.col("s").alias("next"))
+    is_system = (F.col("i") == 1) & (F.col("role") == "system")
     # a turn is history of the following span alone, as history is at most a stride
-    own = t.select("k", "w", "i", "role", "text", F.lit(False).alias("again"))
-    again = t.join(before, ["k", "w"]).where((F.col("at") >= F.col("next") - history) & ~((F.col("i") == 1) & (F.col("role") == "system"))).select("k", F.col("w") + 1, "i", "role", "text", F.lit(True))
-    system = t.where((F.col("i") == 1) & (F.col("role") == "system")).select("k", "i", "role", "text", F.col("w").alias("w0"))
-    retained = starts.select("k", "w").join(system, "k").where("w > w0").select("k", "w", "i", "role", "text", F.lit(True))
-    rows = own.union(again).union(retained)
+    own = placed.select("q", "k", "w", "i", F.lit(False).alias("again"))
+    again = placed.join(before, ["k", "w"]).where((F.col("at") >= F.col("next") - history) & ~is_system).select("q", "k", F.col("w") + 1, "i", F.lit(True))
+    system = placed.where(is_system).select("q", "k", "i", F.col("w").alias("w0"))
+    retained = starts.select("k", "w").join(system, "k").where("w > w0").select("q", "k", "w", "i", F.lit(True))
+    texts = t.groupBy(F.struct(*q).alias("q")).agg(F.any_value("text").alias("text"))
+    rows = own.union(again).union(retained).join(texts, "q").select("k", "w", "i", F.col("q.role").alias("role"), "text", "again")
     turn = F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(END))
     lead = F.length(F.concat(F.lit(START), escape(F.col("role")), F.lit(MIDDLE)))
     rows = rows.select("k", "w", F.struct("i", turn.alias("text"), "again", (~F.col("again") & (F.col("role") == "assistant")).alias("target"), lead.alias("lead"), F.length(turn).alias("size")).alias("x"))
@@ -118,7 +128,7 @@ OP8_SQL = f"""
 WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, * FROM (VALUES (0, 'user', '{PROBE}'), (1, 'assistant', '{PROBE}'))),
 t1 AS (SELECT *, length({_ESC.format("role")}) + length({_ESC.format("text")}) + {len(START + MIDDLE + END)} AS size, CAST(ceil(strlen(text) / 4.0) + 4 AS BIGINT) AS n FROM t0),
-t2 AS (SELECT *, sum(n) OVER w - n AS pos, row_number() OVER w AS i FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+t2 AS (SELECT *, sum(n) OVER w - n AS pos, row_number() OVER w AS i FROM t1 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING)),
 t AS (SELECT *, CAST(floor(pos / {STRIDE}.0) AS BIGINT) AS w FROM t2),
 s AS (SELECT conv_id, w, min(pos) AS s FROM t GROUP BY ALL),
 f AS (SELECT conv_id, size FROM t
