@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tests.llm.held import pii_cases
 from weir.llm import chat, decontam, langid, mpegts, pieces, pii, quality, secrets, suffix, trees
 
 LONG = "lorem ipsum dolor sit amet " * 4000
@@ -158,6 +159,28 @@ def test_personal_data_beyond_patterns(spark):
     assert got[0] == "email:9:35" and got[1] == "phone:4:18" and got[2] == "" and got[3] == "" and got[4] == "card:4:20,card:21:37"
 
 
+def test_personal_data_in_formats_not_trained_on(spark):
+    rows = pii_cases()
+    whole = alarms = 0
+    missed = []
+    for x in pii.op3_pii(spark.createDataFrame([(i, c[1]) for i, c in enumerate(rows)], "doc_id long, text string")).collect():
+        name, text, kind, value = rows[x.doc_id]
+        spans = [s.split(":") for s in x.spans.split(",") if s]
+        at = text.find(value)
+        ok = kind is not None and any(k == kind and int(a) <= at and at + len(value) <= int(b) for k, a, b in spans)
+        whole += ok
+        alarms += kind is None and bool(spans)
+        missed += [name] * (kind is not None and not ok or kind is None and bool(spans))
+    n = sum(k is not None for _, _, k, _ in rows)
+    assert whole / n >= 0.9 and whole / (whole + alarms) >= 0.9, (whole / n, alarms, missed)
+
+
+def test_long_runs_are_taken_whole(spark):
+    texts = [f"write to {'a' * 3000} [at] {'b' * 200}.{'c.' * 20}org now", "9" * 100_000, "1." * 50_000, "a@" * 50_000, "(555) " * 20_000, f"call (555) 123-4567{' ' * 3000}end", ":" * 50_000 + "1.2.3.4"]
+    got = {r.doc_id: r.spans for r in pii.op3_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(got) == len(texts) and got[0] == f"email:9:{len(texts[0]) - 4}" and got[5] == "phone:5:19"
+
+
 def test_boosting_and_forest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 5))
