@@ -103,12 +103,12 @@ def with_values(df: DataFrame, values: DataFrame, column: str = "doc_id") -> Dat
     return sure.union(df.join(words, inside, "left_semi").join(values, column, "left").select(*sure.columns))
 
 
-def spread_join(df: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """df joined with table, which has each key once and the number n of df's rows with it.
+def spread_join(df: DataFrame, table: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """df (of so many rows, at least) joined with table, which has each key once and the number n of df's rows with it.
 
     Keys with over 1/1000 of df's rows (so at most 1000 of them) are joined by broadcast, wherever their rows are.
     """
-    least = max(df.count() / 1000, 1)
+    least = max((df.count() if rows is None else rows) / 1000, 1)
     columns = [*df.columns, *[c for c in table.columns if c not in (key, "n")]]
     hot = table.where(F.col("n") > least).drop("n")
     keys = F.broadcast(hot.select(key))
@@ -122,18 +122,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; each round is cut to the
     shared folder, so lineage stays short and a lost executor costs one round.
-    Only two scalars a round reach the driver. Null ends and loops are left out.
+    The edges of a hub stay where they are (``spread_join``). Only two scalars a
+    round reach the driver. Null ends and loops are left out.
     """
     e = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    was = None
+    was, rows = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, "u", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, least, "u", rows)
         e = cut(small.select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == was:
+        rows, mix = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (rows, mix) == was:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = now
+        was = (rows, mix)
