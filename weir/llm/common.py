@@ -49,7 +49,7 @@ def per_document(
     """
     binary = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
     fields = [x.split(" ") for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(), "int": pa.int32(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     names, types = [x[0] for x in fields], [kinds[x[1]] for x in fields]
     out = pa.schema(list(zip(names, types)))
 

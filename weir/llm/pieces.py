@@ -44,7 +44,7 @@ BLANK = "▁"
 #: Segmentations of each text that the query tells.
 NBEST = 4
 #: Bytes of the parts that a worker remembers; the younger half outlives the older one.
-REMEMBERED_BYTES = 160 << 20
+REMEMBERED_BYTES = 96 << 20
 #: Longer parts are searched one by one and aren't remembered.
 SHORT = 64
 #: Characters in one array of parts.
