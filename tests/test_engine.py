@@ -124,3 +124,62 @@ def test_python_function(engine):
 def test_query_errors(engine, text):
     with pytest.raises(QueryError):
         engine.query(text)
+
+
+def test_sums_that_overflow_are_null(spark):
+    big = spark.createDataFrame([(1, 2**62, [2**62, 2**62])] * 3 + [(2, 1, [1])], "k long, v long, a array<long>")
+    e = Engine(spark, {"t": big})
+    assert {r.k: r.s for r in e.query("from t | s:=sum(v) by k").collect()} == {1: None, 2: 1}
+    assert {r.s for r in e.query("from t | yield {s:(over a | sum(this))}").collect()} == {None, 1}
+    assert e.query("from t | sort k | put s:=sum(v) | tail 1 | cut s").first()[0] is None
+
+
+def test_functions_belong_to_one_engine(spark):
+    a, b = Engine(spark, {"t": spark.range(2)}), Engine(spark, {"t": spark.range(2)})
+    a.function("lower", lambda s: s + 100, "long")
+    assert sorted(r.x for r in a.query("from t | yield {x:lower(id)}").collect()) == [100, 101]
+    assert b.query('from t | yield {x:lower("A")}').first().x == "a"
+
+
+def test_joins_of_keys_that_are_never_equal(spark):
+    e = Engine(spark, {"a": spark.range(2), "b": spark.createDataFrame([("0", 1)], "s string, v long")})
+    assert [tuple(r) for r in e.query("from a | left join (from b) on id=s v | sort id").collect()] == [(0, None), (1, None)]
+    assert e.query("from a | join (from b) on id=s v").count() == 0
+    assert e.query("from a | anti join (from b) on id=s").count() == 2
+    assert e.query("from a | left join (from b) on id=nothing v").columns == ["id", "v"]
+
+
+def test_collect_in_order(spark):
+    rows = [(1, None, "n"), (1, 2, "b"), (1, 1, "a"), (2, 5, "z"), (1, 3, "c")]
+    e = Engine(spark, {"t": spark.createDataFrame(rows, "k long, o long, v string").repartition(3)})
+    assert {r.k: r.c for r in e.query("from t | sort o | c:=collect(v) by k").collect()} == {1: ["a", "b", "c", "n"], 2: ["z"]}
+    assert {r.k: r.c for r in e.query("from t | sort -r o | c:=collect(v) by k").collect()} == {1: ["c", "b", "a", "n"], 2: ["z"]}
+
+
+def scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [") + plan.count("LogicalRDD [") + plan.count("Range (")
+
+
+def test_legs_that_project_are_one_scan(spark):
+    e = Engine(spark, {"t": spark.range(12).selectExpr("id", "id % 3 AS m", "CAST(id AS STRING) AS s")})
+    q = e.query('from t | switch ( case m==0 => where id>3 | yield {k:"a",v:id} case m==1 => cut id,w:=id*2 default => put k:="c" )')
+    assert scans(q) == 1
+    got = sorted((r.asDict() for r in q.collect()), key=str)
+    want = []
+    for i in range(12):
+        base = dict.fromkeys(("k", "v", "id", "w", "m", "s"))
+        if i % 3 == 0 and i > 3:
+            want.append(base | {"k": "a", "v": i})
+        elif i % 3 == 1:
+            want.append(base | {"id": i, "w": 2 * i})
+        elif i % 3 == 2:
+            want.append(base | {"id": i, "m": 2, "s": str(i), "k": "c"})
+    assert got == sorted(({c: w[c] for c in q.columns} for w in want), key=str)
+    f = e.query("from t | fork ( => where id<5 => where id>=10 | cut id,x:=m+1 => pass )")
+    assert scans(f) == 1 and f.count() == 5 + 2 + 12 and f.where("x IS NOT NULL").count() == 2
+    # legs that do more keep plans of their own, and joins take legs one by one
+    assert e.query("from t | fork ( => count() => where id<5 | count() )").count() == 2
+    assert e.query("from t | fork ( => cut id,m => cut id,s ) | join on id=id s").count() == 12
+    assert e.query("from t | switch m ( case 0 => yield {v:1} case 1 => yield {v:2} )").count() == 8
+    assert sorted(r.n for r in e.query("from t | sort id | switch ( case m==0 => yield {n:count()} default => yield {n:0} )").collect()) == [0] * 8 + [1, 2, 3, 4]

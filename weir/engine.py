@@ -15,6 +15,7 @@ from weir.lang.lexer import QueryError
 from weir.lang.parser import parse
 from weir.operators import rel as R
 from weir.operators.lower import Plan, combined, run_scope
+from weir.operators.pruning import bounds
 from weir.operators.rel import Rel
 from weir.plans import types as L
 
@@ -83,7 +84,11 @@ class Engine:
             if a["name"] is None and a["regexp"] is None:
                 return R.of(self.lake.meta(None, None, a["meta"]))
             if not a["glob"] and a["regexp"] is None:
-                return R.of(self.lake.meta(a["name"], a["at"], a["meta"])) if a["meta"] else R.of(self.lake.read(a["name"], a["at"] or "main"))
+                if a["meta"]:
+                    return R.of(self.lake.meta(a["name"], a["at"], a["meta"]))
+                low, high = bounds(a.get("where") or [], self.lake.info(a["name"])["key"])
+                at = a["at"] or "main"
+                return R.of(self.lake.read(a["name"], at) if low is None and high is None else self.lake.narrowed(a["name"], at, low, high))
         if a["meta"]:
             raise QueryError("meta queries need a lake")
         if a["glob"] or a["regexp"] is not None:
@@ -98,14 +103,10 @@ class Engine:
         return [f[:-8] for f in os.listdir(self.directory) if f.endswith(".parquet")] if self.directory else []
 
     def _plan(self, streaming: bool = False) -> Plan:
-        env = Env({}, lambda: Value(F.lit(None).cast("string"), L.NULL))
+        env = Env({}, lambda: Value(F.lit(None).cast("string"), L.NULL), python={n: _python(f) for n, f in self.functions.items()})
         return Plan(self._source, env, strict=self.strict, streaming=streaming)
 
     def _run(self, text: str, df: DataFrame | Rel | None) -> tuple[Rel, Plan]:
-        from weir.functions import scalar
-
-        for n, f in self.functions.items():
-            scalar.FUNCTIONS[n] = (_python(f), 0, None)
         streaming = isinstance(df, DataFrame) and df.isStreaming
         plan = self._plan(streaming)
         rels = None if df is None else [df if isinstance(df, Rel) else R.of(df)]

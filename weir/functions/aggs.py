@@ -25,7 +25,7 @@ def _only(c: Column, ok: Column | None) -> Column:
     return c if ok is None else F.when(ok, c)
 
 
-def aggregate(name: str, arg: Value | None, where: Column | None, ordered: Callable[[Column], Column] | None = None) -> Value:
+def aggregate(name: str, arg: Value | None, where: Column | None, ordered: Callable[..., Column] | None = None) -> Value:
     """A grouped (or windowed) aggregate; ordered turns a collected column into its ordered list."""
     if name == "count":
         if arg is None:
@@ -48,7 +48,7 @@ def aggregate(name: str, arg: Value | None, where: Column | None, ordered: Calla
             return Value(F.max(F.lit(None).cast("bigint")), L.NULL)
         if L.is_float(t):
             return Value(F.sum(c.cast("double")), L.FLOAT64)
-        return Value(F.sum(c.cast("bigint")), L.DURATION if L.is_prim(t, "duration") else L.UINT64 if t[1][0] == "u" else L.INT64)
+        return Value(F.try_sum(c.cast("bigint")), L.DURATION if L.is_prim(t, "duration") else L.UINT64 if t[1][0] == "u" else L.INT64)
     if name in ("min", "max"):
         if not (numeric or L.is_prim(t, "time")):
             return Value(F.max(F.lit(None).cast("bigint")), L.NULL)
@@ -66,7 +66,7 @@ def aggregate(name: str, arg: Value | None, where: Column | None, ordered: Calla
             return Value(F.bool_and(F.lit(None).cast("boolean")), L.BOOL)
         return Value((F.bool_and if name == "and" else F.bool_or)(c), L.BOOL)
     if name == "collect":
-        got = ordered(c) if ordered is not None else F.collect_list(c)
+        got = ordered(c, "map<" not in L.spark_type(arg.type).simpleString()) if ordered is not None else F.collect_list(c)
         return Value(F.nullif(got, F.array().cast(f"array<{L.spark_type(arg.type).simpleString()}>")), ("array", arg.type))
     if name == "union":
         return Value(F.nullif(F.array_sort(F.collect_set(c)), F.array().cast(f"array<{L.spark_type(arg.type).simpleString()}>")), ("set", arg.type))
@@ -75,7 +75,7 @@ def aggregate(name: str, arg: Value | None, where: Column | None, ordered: Calla
         return Value(F.approx_count_distinct(c) + F.coalesce(F.max(null.cast("bigint")), F.lit(0)), L.UINT64)
     if name == "collect_map":
         entries = F.map_entries(c)
-        got = F.flatten(ordered(entries) if ordered is not None else F.collect_list(entries))
+        got = F.flatten(ordered(entries, "map<" not in L.spark_type(t[2]).simpleString()) if ordered is not None else F.collect_list(entries))
         # the last entry of a key wins
         keys = F.array_distinct(F.transform(got, lambda x: x["key"]))
         values = F.transform(keys, lambda k: F.element_at(F.filter(got, lambda x: x["key"] == k), -1)["value"])
@@ -94,7 +94,7 @@ def in_array(name: str, c: Column, t: L.Type) -> Value:
     if name == "sum":
         out = L.FLOAT64 if L.is_float(u) else L.DURATION if L.is_prim(u, "duration") else L.INT64
         st = L.spark_type(out)
-        return Value(F.when(F.size(some) > 0, F.aggregate(some, F.lit(0).cast(st), lambda a, x: a + x.cast(st))), out)
+        return Value(F.when(F.size(some) > 0, F.aggregate(some, F.lit(0).cast(st), lambda a, x: F.try_add(a, x.cast(st)))), out)
     if name in ("min", "max"):
         return Value((F.array_min if name == "min" else F.array_max)(c), t)
     if name == "avg":

@@ -66,6 +66,8 @@ class Env:
     types: dict[str, Type] = field(default_factory=dict)
     #: makes a running aggregate from (name, argument Value or None, filter Column or None)
     running: Callable | None = None
+    #: functions in Python that an engine was given: (env, *values) to a value
+    python: dict[str, Callable] = field(default_factory=dict)
     depth: int = 0
     #: the rows, for what must be known of them when planning
     df: object = None

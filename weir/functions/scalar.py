@@ -48,6 +48,8 @@ def call(name: str, args: list[tuple], env: Env) -> Value:
         if env.depth >= MAX_CALLS:
             raise QueryError(f"{name}: recursion is too deep to unfold; give it as a Python function with Engine.function")
         return lower(body, env.child({p: lower(a, env) for p, a in zip(params, args)}))
+    if name in env.python:
+        return env.python[name](env, *[lower(a, env) for a in args])
     if name in SYNTAX:
         return SYNTAX[name](args, env)
     if name not in FUNCTIONS:

@@ -19,7 +19,10 @@ from weir.functions.traverse import all_elements
 from weir.lang.lexer import QueryError
 from weir.lang.parser import AGGREGATES, field_name
 from weir.operators import rel as R
+from weir.operators.legs import Legs, together
+from weir.operators.pruning import with_filters
 from weir.operators.rel import Rel
+from weir.operators.running import exact_sum
 from weir.operators.running import running as spread
 from weir.operators.running import spreads
 from weir.plans import types as L
@@ -59,7 +62,7 @@ def run_scope(scope: tuple, rels: list[Rel] | None, plan: Plan) -> list[Rel]:
             plan.env.funcs[d[1]] = (d[2], d[3], None)
         else:
             plan.ops[d[1]] = (d[2], d[3], plan.env)
-    for op in ops:
+    for op in with_filters(ops):
         rels = run_op(op, rels, plan)
     return rels if rels is not None else []
 
@@ -68,6 +71,8 @@ def combined(rels: list[Rel]) -> Rel:
     """The legs as one relation: fields of all, absent ones null; order is lost."""
     if len(rels) == 1:
         return rels[0]
+    if isinstance(rels, Legs) and rels.whole is not None:
+        return rels.whole
     if not rels:
         raise QueryError("there is no input")
     if not all(r.is_record for r in rels):
@@ -76,11 +81,7 @@ def combined(rels: list[Rel]) -> Rel:
         t, _ = unify([r.this() for r in rels])
         rels = [r.yielding(replace(r.this(), col=to_text(r.this()) if L.is_prim(t, "string") and r.type != t else r.this().col.cast(L.spark_type(t)), type=t)) for r in rels]
     else:
-        target: dict[str, L.Type] = {}
-        for r in rels:
-            for n, x in L.under(r.type)[1]:
-                t = x if n not in target else target[n] if target[n] == x else L.promote(target[n], x) if L.is_number(target[n]) and L.is_number(x) else L.merge(target[n], x)
-                target[n] = t if L.under(t)[0] != "union" else L.STRING
+        target = _merged([L.under(r.type)[1] for r in rels])
         out = []
         for r in rels:
             have = r.columns()
@@ -98,6 +99,22 @@ def combined(rels: list[Rel]) -> Rel:
     return Rel(df, first.type, [], scope, first.locals)
 
 
+def _merged(records: list[list[tuple[str, L.Type]]]) -> dict[str, L.Type]:
+    """The fields of all records; of unlike types the wider one, or text."""
+    target: dict[str, L.Type] = {}
+    for fields in records:
+        for n, x in fields:
+            t = x if n not in target else target[n] if target[n] == x else L.promote(target[n], x) if L.is_number(target[n]) and L.is_number(x) else L.merge(target[n], x)
+            target[n] = t if L.under(t)[0] != "union" else L.STRING
+    return target
+
+
+def _legs(r: Rel, bodies: list[tuple], index, rels: list[Rel], plan: Plan) -> Legs:
+    out = Legs(rels)
+    out.whole = together(r, bodies, index, plan, _OPS, _fitted, lambda legs: _merged([[(n, v.type) for n, v in f.items()] for f in legs])) if len(rels) > 1 else None
+    return out
+
+
 def _spark_of(n: str, rels: list[Rel], t: L.Type):
     """The Spark type of a field where some leg has it (a timestamp may lack a zone)."""
     for r in rels:
@@ -132,7 +149,7 @@ def run_op(op: tuple, rels: list[Rel] | None, plan: Plan) -> list[Rel] | None:
         return out
     if name == "fork":
         r = combined(rels)
-        return [combined(run_scope(leg, [r], plan)) for leg in a["legs"]]
+        return _legs(r, a["legs"], None, [combined(run_scope(leg, [r], plan)) for leg in a["legs"]], plan)
     if name == "join" and a["right"] is None:
         if len(rels) != 2:
             raise QueryError("join needs two inputs")
@@ -509,8 +526,12 @@ def _list_in_order(r: Rel):
     if not r.order:
         return None
 
-    def collect(c):
+    def collect(c, sortable=True):
         got = F.collect_list(F.when(c.isNotNull(), F.struct(*[F.col(o[0]) for o in r.order], c.alias("_v"))))
+        if sortable and all(not desc and not first for _, desc, first in r.order):
+            # nulls last, and then by value, as structs are ordered
+            keyed = F.collect_list(F.when(c.isNotNull(), F.struct(*[x for o in r.order for x in (F.col(o[0]).isNull().alias(f"{o[0]}n"), F.col(o[0]).alias(o[0]))], c.alias("_v"))))
+            return F.transform(F.array_sort(keyed), lambda x: x["_v"])
 
         def compare(x, y):
             out = F.lit(0)
@@ -598,6 +619,9 @@ def _running(r: Rel, plan: Plan) -> Env:
             return spread(r, name, arg, where)
         w = _scoped(r if r.order else _unordered(r)).rowsBetween(Window.unboundedPreceding, 0)
         v = aggregate(name, arg, where)
+        wide = exact_sum(arg, where) if name == "sum" else None
+        if wide is not None:
+            return replace(v, col=wide.over(w).try_cast("bigint"))
         return replace(v, col=v.col.over(w)) if name not in ("collect", "union", "dcount", "collect_map") else _running_list(name, arg, where, w)
 
     return replace(r.env(plan.env), running=running)
@@ -629,11 +653,10 @@ def join(left: Rel, right: Rel, a: dict, plan: Plan) -> Rel:
         left, right, le, re_ = right, left, re_, le
     lenv, renv = left.env(plan.env), right.env(plan.env)
     lk, rk = lower(le, lenv), lower(re_, renv)
-    if lk.missing or rk.missing:
-        # rows without the key are in neither side
-        return replace(left, df=left.df.where(F.lit(False))) if lk.missing or style != "anti" else left
-    if not (L.is_number(lk.type) and L.is_number(rk.type)) and lk.type != rk.type and not L.is_prim(lk.type, "null") and not L.is_prim(rk.type, "null"):
-        return replace(left, df=left.df.where(F.lit(False))) if style == "inner" else left
+    # rows without the key are in neither side, and keys of unlike types are never equal
+    never = lk.missing or rk.missing or (not (L.is_number(lk.type) and L.is_number(rk.type)) and lk.type != rk.type and not L.is_prim(lk.type, "null") and not L.is_prim(rk.type, "null"))
+    if never and style in ("inner", "anti"):
+        return replace(left, df=left.df.where(F.lit(False))) if lk.missing or style == "inner" else left
     fields = left.columns()
     new: dict[str, Value] = {}
     if style != "anti":
@@ -644,6 +667,15 @@ def join(left: Rel, right: Rel, a: dict, plan: Plan) -> Rel:
     jk = _hidden("jk")
     sel = [rk.col.alias(jk)] + [v.col.alias(f"__r_{n}") for n, v in new.items() if not v.missing]
     rdf = right.df.select(*sel)
+    if never:
+        left = replace(left, df=left.df.where(F.lit(not lk.missing)))
+        for n, v in new.items():
+            name, k = n, 2
+            while name in fields:
+                name, k = f"{n}_{k}", k + 1
+            st = L.spark_type(v.type)
+            fields[name] = v if v.missing else Value(F.lit(None).cast("timestamp_ntz" if v.ntz else st), v.type, ntz=v.ntz)
+        return left.project(fields)
     how = {"inner": "inner", "left": "left", "right": "left", "anti": "left_anti"}[style]
     # null matches null, as the join key of a hash join
     df = left.df.join(rdf, lk.col.eqNullSafe(F.col(jk)), how)
@@ -686,7 +718,7 @@ def switch(r: Rel, a: dict, plan: Plan) -> list[Rel]:
     for i, (_, body) in enumerate(a["cases"]):
         leg = replace(r, df=routed.where(F.col(h) == i).drop(h))
         out.append(combined(run_scope(body, [leg], plan)))
-    return out
+    return _legs(r, [body for _, body in a["cases"]], index, out, plan) if index is not None else out
 
 
 # nested values

@@ -61,10 +61,21 @@ def ranges(r) -> Column:
     return F.when(key.isNull(), F.lit(0 if nulls_first else len(bounds) + 3)).otherwise(at)
 
 
+def exact_sum(arg: Value, where: Column | None) -> Column | None:
+    """The sum of integers that can't overflow on the way, for a total that is null where it doesn't fit; None for others."""
+    if arg is None or arg.missing or not (L.is_int(L.under(arg.type)) or L.is_prim(L.under(arg.type), "duration")):
+        return None
+    c = arg.col.cast("decimal(38,0)")
+    ok = where if arg.err is None else ~F.coalesce(arg.err, F.lit(False)) if where is None else where & ~F.coalesce(arg.err, F.lit(False))
+    return F.sum(c if ok is None else F.when(ok, c))
+
+
 def running(r, name: str, arg: Value | None, where: Column | None) -> Value:
     v = aggregate(name, arg, where)
+    wide = exact_sum(arg, where) if name == "sum" else None
+    col, kind = (v.col, L.spark_type(v.type)) if wide is None else (wide, T.DecimalType(38, 0))
     at = ranges(r)
-    totals = sorted((x["p"], x["v"]) for x in r.df.groupBy(at.alias("p")).agg(v.col.alias("v")).collect())
+    totals = sorted((x["p"], x["v"]) for x in r.df.groupBy(at.alias("p")).agg(col.alias("v")).collect())
     before, entries = None, []
     for p, x in totals:
         if before is not None:
@@ -72,9 +83,8 @@ def running(r, name: str, arg: Value | None, where: Column | None) -> Value:
         if x is not None:
             before = x if before is None else _JOIN_PLAIN[name](before, x)
     w = Window.partitionBy(at).orderBy(*r.order_by()).rowsBetween(Window.unboundedPreceding, 0)
-    own = v.col.over(w)
-    if not entries:
-        return Value(own, v.type, ntz=v.ntz)
-    earlier = F.create_map(*entries)[at].cast(L.spark_type(v.type))
-    both = F.when(earlier.isNull(), own).when(own.isNull(), earlier).otherwise(_JOIN[name](earlier, own))
-    return Value(both, v.type, ntz=v.ntz)
+    own = col.over(w)
+    if entries:
+        earlier = F.create_map(*entries)[at].cast(kind)
+        own = F.when(own.isNull(), earlier).when(earlier.isNull(), own).otherwise(_JOIN[name](own, earlier))
+    return Value(own if wide is None else own.try_cast("bigint"), v.type, ntz=v.ntz)
