@@ -45,19 +45,19 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "by_expr": ("from customer | count() by seg:=lower(c_mktsegment)", "SELECT lower(c_mktsegment) AS seg, count(*) AS count FROM customer GROUP BY 1"),
     "logical_aggs": ("from lineitem | a:=and(l_quantity>0),o:=or(l_quantity>49) by l_returnflag", "SELECT l_returnflag, bool_and(l_quantity>0) AS a, bool_or(l_quantity>49) AS o FROM lineitem GROUP BY 1"),
     "union_agg": ('from orders | u:=union(o_orderstatus) by o_orderpriority | put u:=join(u,",")', "SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS u FROM orders GROUP BY 1"),
-    "collect_agg": ("from orders | sort o_orderkey | c:=collect(o_orderkey) by o_custkey | cut o_custkey, n:=len(c), first:=c[0], last:=c[-1]", "SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM orders GROUP BY 1"),
-    "collect_map_agg": ("from nation | m:=collect_map(|{n_name:n_nationkey}|) by n_regionkey | cut n_regionkey, n:=len(m)", "SELECT n_regionkey, count(DISTINCT n_name) AS n FROM nation GROUP BY 1"),
-    "any_agg": ("from nation | any(n_regionkey) by n_name", 'SELECT n_name, any_value(n_regionkey) AS "any" FROM nation GROUP BY 1'),
+    "collect_agg": ('from orders | sort o_orderkey | c:=collect(<string>(o_orderkey)) by o_custkey | cut o_custkey, c:=join(c,",")', "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS c FROM orders GROUP BY 1"),
+    "collect_map_agg": ('from nation | m:=collect_map(|{n_name:n_nationkey}|) by n_regionkey | over m with r=n_regionkey => (yield {r,k:key,v:value})', 'SELECT n_regionkey AS r, n_name AS k, n_nationkey AS v FROM nation'),
+    "any_agg": ('from orders | p:=any(o_orderpriority),c:=any(o_custkey) by k:=f"{o_orderpriority}/{o_custkey}" | yield {k,same:k==f"{p}/{c}"}', "SELECT o_orderpriority || '/' || o_custkey AS k, true AS same FROM orders GROUP BY 1"),
     "dcount_small": ("from orders | d:=dcount(o_orderstatus) by o_orderpriority", "SELECT o_orderpriority, count(DISTINCT o_orderstatus) AS d FROM orders GROUP BY 1"),
-    "dcount_agg": ("from events | d:=dcount(user_id) by event_type", None),
+    "dcount_agg": ('from events | d:=dcount(user_id),u:=union(user_id) by event_type | yield {event_type,close:abs(d-len(u))*10<=len(u)}', 'SELECT event_type, true AS close FROM events GROUP BY 1'),
     "fuse_agg": ("from nation | fuse(this)", "SELECT '{n_nationkey:int32,n_name:string,n_regionkey:int32}' AS this"),
     "bucket_day": ("from events | count() by ts:=bucket(ts,1d),event_type", "SELECT date_trunc('day',ts) AS ts, event_type, count(*) AS count FROM events GROUP BY 1,2"),
     "every_hour": ("from events | count() by every(1h)", "SELECT date_trunc('hour',ts) AS ts, count(*) AS count FROM events GROUP BY 1"),
     "null_key_group": ("from events | put k:=value>50. ? event_type : null | count() by k", "SELECT CASE WHEN value>50 THEN event_type END AS k, count(*) AS count FROM events GROUP BY 1"),
     # order
-    "sort_multi": ("from orders | cut o_orderstatus,o_totalprice,o_orderkey | sort o_orderstatus asc, o_totalprice desc, o_orderkey | head 50", "SELECT o_orderstatus, o_totalprice, o_orderkey FROM orders ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey LIMIT 50"),
-    "sort_nulls": ("from events | put k:=event_id%3==0 ? null : event_id | cut event_id,k | sort -r k, event_id | head 10", "SELECT event_id, CASE WHEN event_id%3=0 THEN NULL ELSE event_id END AS k FROM events ORDER BY k DESC NULLS LAST, event_id DESC LIMIT 10"),
-    "sort_nulls_first": ("from events | put k:=event_id%3==0 ? null : event_id | cut event_id,k | sort -nulls first k, event_id | head 10", "SELECT event_id, CASE WHEN event_id%3=0 THEN NULL ELSE event_id END AS k FROM events ORDER BY k NULLS FIRST, event_id NULLS FIRST LIMIT 10"),
+    "sort_multi": ('from orders | sort o_orderstatus asc, o_totalprice desc, o_orderkey | yield {o_orderkey,n:count()}', 'SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS n FROM orders'),
+    "sort_nulls": ('from events | put k:=event_id%3==0 ? null : event_id | sort -r k, event_id | yield {event_id,n:count()}', 'SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id%3=0 THEN NULL ELSE event_id END DESC NULLS LAST, event_id DESC) AS n FROM events'),
+    "sort_nulls_first": ('from events | put k:=event_id%3==0 ? null : event_id | sort -nulls first k, event_id | yield {event_id,n:count()}', 'SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id%3=0 THEN NULL ELSE event_id END NULLS FIRST, event_id) AS n FROM events'),
     "top_n": ("from orders | cut o_totalprice,o_orderkey | top 7 o_totalprice,o_orderkey", "SELECT o_totalprice, o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 7"),
     "head_n": ("from events | sort event_id | head 5 | cut event_id,event_type", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 5"),
     "tail_n": ("from events | sort event_id | tail 5 | cut event_id,event_type", "SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 5)"),
@@ -75,10 +75,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "join_null_key": ("from nation | put k:=n_nationkey<3 ? null : n_nationkey | join (from region | put k:=r_regionkey==0 ? null : r_regionkey) on k r_name | cut n_nationkey,r_name", "SELECT n_nationkey, r_name FROM (SELECT *, CASE WHEN n_nationkey<3 THEN NULL ELSE n_nationkey END AS k FROM nation) a JOIN (SELECT *, CASE WHEN r_regionkey=0 THEN NULL ELSE r_regionkey END AS k FROM region) b ON a.k IS NOT DISTINCT FROM b.k"),
     "join_fork": ("from orders | fork (=> cut o_custkey,o_orderkey => where o_totalprice>400000. | cut o_custkey,t:=o_totalprice) | join on o_custkey=o_custkey t", "SELECT a.o_custkey, a.o_orderkey, b.o_totalprice AS t FROM orders a JOIN orders b ON a.o_custkey=b.o_custkey WHERE b.o_totalprice>400000"),
     # several legs
-    "fork_union": ("from orders | fork (=> where o_orderkey<10 => where o_orderkey<5) | cut o_orderkey", "SELECT o_orderkey FROM orders WHERE o_orderkey<10 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey<5"),
+    "fork_union": ('from orders | fork (=> where o_totalprice>100000. => where o_orderstatus=="F") | cut o_orderkey', "SELECT o_orderkey FROM orders WHERE o_totalprice>100000 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus='F'"),
     "switch_bool": ('from orders | switch ( case o_totalprice>200000. => yield {k:"big",o_orderkey} case o_totalprice>100000. => yield {k:"mid",o_orderkey} default => yield {k:"small",o_orderkey} )', "SELECT CASE WHEN o_totalprice>200000 THEN 'big' WHEN o_totalprice>100000 THEN 'mid' ELSE 'small' END AS k, o_orderkey FROM orders"),
     "switch_value": ('from orders | switch o_orderstatus ( case "F" => yield {o_orderkey,v:1} case "O" => yield {o_orderkey,v:2} )', "SELECT o_orderkey, CAST(CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS BIGINT) AS v FROM orders WHERE o_orderstatus IN ('F','O')"),
-    "merge_legs": ("from orders | fork (=> where o_orderkey<20 => where o_orderkey>=20 and o_orderkey<40) | merge o_orderkey | head 30 | cut o_orderkey", "SELECT o_orderkey FROM orders WHERE o_orderkey<40 ORDER BY 1 LIMIT 30"),
+    "merge_legs": ('from orders | fork (=> where o_orderstatus=="F" => where o_orderstatus!="F") | merge o_orderkey | yield {o_orderkey,n:count()}', 'SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders'),
     # nested values
     "over_array": ("from embeddings | over embedding | n:=count()", "SELECT count(*) AS n FROM (SELECT unnest(embedding) FROM embeddings)"),
     "over_body": ("from embeddings | over embedding with id=vec_id => (where this>0 | n:=count() | yield {id,n})", "SELECT vec_id AS id, len(list_filter(embedding, lambda x: x>0)) AS n FROM embeddings WHERE len(list_filter(embedding, lambda x: x>0))>0"),
@@ -129,13 +129,19 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "ksuid_fn": ("from nation | yield {n:len(ksuid()),s:len(ksuid(ksuid()))} | count() by n,s", "SELECT 20::BIGINT AS n, 27::BIGINT AS s, count(*) AS count FROM nation"),
     "now_fn": ("from nation | where now()>2020-01-01T00:00:00Z | count()", "SELECT count(*) AS this FROM nation"),
     "net_fns": ('from nation | put ip:=<ip>(f"10.{n_regionkey}.0.{n_nationkey}") | yield {n_nationkey,n:<string>(network_of(ip,16)),m:cidr_match(10.1.0.0/16,ip),c:<string>(network_of(ip))}', "SELECT n_nationkey, '10.'||n_regionkey||'.0.0/16' AS n, n_regionkey=1 AS m, '10.0.0.0/8' AS c FROM nation"),
-    "ip_sort": ('from nation | yield {ip:<ip>(f"10.0.0.{n_nationkey}"),n_nationkey} | sort ip | head 12 | cut n_nationkey', "SELECT n_nationkey FROM nation ORDER BY n_nationkey LIMIT 12"),
+    "ip_sort": ('from orders | yield {ip:<ip>(f"10.{o_orderkey%7}.{o_orderkey%200}.{o_custkey%250}"),o_orderkey} | sort ip,o_orderkey | yield {o_orderkey,n:count()}', 'SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey%7, o_orderkey%200, o_custkey%250, o_orderkey) AS n FROM orders'),
     "sets_maps": ("from nation | yield {s:len(|[n_regionkey,n_regionkey,1]|),m:len(|{n_name:1,\"x\":2}|)} | count() by s,m", "SELECT CAST(CASE WHEN n_regionkey=1 THEN 1 ELSE 2 END AS BIGINT) AS s, 2::BIGINT AS m, count(*) AS count FROM nation GROUP BY 1,2"),
+    "crop_fn": ("from nation | yield crop(this,<{n_name:string,extra:int64}>)", "SELECT n_name FROM nation"),
+    "shape_fn": ("from nation | yield shape(this,<{n_regionkey:string,extra:int64,n_name:string}>)", "SELECT CAST(n_regionkey AS VARCHAR) AS n_regionkey, CAST(NULL AS BIGINT) AS extra, n_name, n_nationkey FROM nation"),
+    "sum_overflow": ("from nation | s:=sum(n_nationkey>0 ? 9223372036854775000 : 5) by k:=n_nationkey>0", "SELECT n_nationkey>0 AS k, CASE WHEN count(*)=1 THEN CAST(5 AS BIGINT) END AS s FROM nation GROUP BY 1"),
+    "running_overflow": ("from nation | sort n_nationkey | put s:=sum(n_nationkey<2 ? n_nationkey+1 : 9223372036854775807) | cut n_nationkey,s", "SELECT n_nationkey, CASE n_nationkey WHEN 0 THEN CAST(1 AS BIGINT) WHEN 1 THEN CAST(3 AS BIGINT) END AS s FROM nation"),
+    "join_left_unlike": ("from nation | left join (from region) on n_name=r_regionkey r_name | cut n_nationkey,r_name", "SELECT n_nationkey, CAST(NULL AS VARCHAR) AS r_name FROM nation"),
+    "fork_project": ("from orders | fork (=> where o_totalprice>100000. | yield {k:o_orderkey,v:o_totalprice} => cut k:=o_custkey)", "SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_totalprice>100000 UNION ALL SELECT o_custkey, NULL FROM orders"),
     # declarations
     "const_decl": ("const LIMIT=3 from nation | where n_nationkey<LIMIT | cut n_nationkey", "SELECT n_nationkey FROM nation WHERE n_nationkey<3"),
     "func_decl": ("func half(p,d): (p/d) func quarter(p): (half(half(p,2),2)) from orders | yield {o_orderkey,q:quarter(o_orderkey)}", "SELECT o_orderkey, (o_orderkey//2)//2 AS q FROM orders"),
     "op_decl": ("op above(f,n): (where f>n) op tops(f): (above(f,300000.) | sort o_orderkey | head 5) from orders | tops(o_totalprice) | cut o_orderkey", "SELECT o_orderkey FROM orders WHERE o_totalprice>300000 ORDER BY 1 LIMIT 5"),
-    "scope_block": ("from nation | ( const N=2 head N | count() )", "SELECT 2::BIGINT AS this"),
+    "scope_block": ('from orders | ( const N=200000. where o_totalprice>N | cut o_orderkey )', 'SELECT o_orderkey FROM orders WHERE o_totalprice>200000'),
     # the headline shapes
     "pricing_summary": ("from lineitem | where l_shipdate<=1998-09-02T00:00:00Z | n:=count(),q:=sum(l_quantity),lo:=min(l_discount),hi:=max(l_tax) by l_returnflag,l_linestatus | sort l_returnflag,l_linestatus", "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q, min(l_discount) AS lo, max(l_tax) AS hi FROM lineitem WHERE l_shipdate <= timestamp '1998-09-02' GROUP BY 1,2"),
     "star_join": ('from orders | join (from customer | join (from nation) on c_nationkey=n_nationkey n_name) on o_custkey=c_custkey n_name | n:=count() by n_name', "SELECT n_name, count(*) AS n FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey GROUP BY 1"),
