@@ -15,10 +15,13 @@ SLICE_ROWS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all of Spark runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weir-"))
+        known = spark.conf.get("spark.checkpoint.dir", None)
+        if known is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset, and executors can't share a folder of one machine")
+        sc.setCheckpointDir(known or tempfile.mkdtemp(prefix="weir-"))
     return sc.getCheckpointDir()
 
 
