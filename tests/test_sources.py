@@ -48,3 +48,14 @@ def test_pretty_values(spark, tmp_path):
     f = tmp_path / "p.zson"
     f.write_text("{\n  a: 1,\n  b: [2]\n}\n{a:3}\n")
     assert [r.v for r in Engine(spark).values("yield a", str(f)).collect()] == ["1", "3"]
+
+
+def test_zeek_headers_that_differ_fail(spark, tmp_path):
+    d = tmp_path / "logs"
+    d.mkdir()
+    head = "#separator \\x09\n#fields\ta\tb\n#types\tstring\tcount\n"
+    (d / "1.log").write_text(head + "x\t1\n" + head + "y\t2\n")
+    assert sorted(tuple(r) for r in sources.read(spark, str(d), "zeek").collect()) == [("x", 1), ("y", 2)]
+    (d / "2.log").write_text(head.replace("a\tb", "b\ta") + "3\tz\n")
+    with pytest.raises(Exception, match="headers differ"):
+        sources.read(spark, str(d), "zeek").collect()

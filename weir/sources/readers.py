@@ -64,12 +64,20 @@ def line(spark: SparkSession, path: str) -> DataFrame:
 def arrows(spark: SparkSession, path: str) -> DataFrame:
     """Arrow IPC streams; each file is decoded where it is read."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    head = files.limit(1).collect()
+
+
+    def schemas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array([pa.ipc.open_stream(content.as_buffer()).schema.serialize().to_pybytes()], pa.binary())], names=["s"])
+
+    # a schema of one file is read where the file is; only the schema comes here
+    head = files.limit(1).mapInArrow(schemas, "s binary").collect()
     if not head:
         return spark.createDataFrame([], T.StructType([]))
     from pyspark.sql.pandas.types import from_arrow_schema
 
-    schema = pa.ipc.open_stream(head[0]["content"]).schema
+    schema = pa.ipc.read_schema(pa.py_buffer(bytes(head[0]["s"])))
     spark_schema = from_arrow_schema(schema, prefer_timestamp_ntz=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +198,10 @@ _ZEEK = {"bool": "bool", "count": "uint64", "int": "int64", "double": "float64",
 
 
 def zeek(spark: SparkSession, path: str) -> DataFrame:
-    """Logs with #fields and #types; dotted names become records. Data lines are split and cast as columns."""
+    """Logs with #fields and #types, the same in all files; dotted names become records. Data lines are split and cast as columns.
+
+    A header that differs from the first one fails the query, as its lines would come under wrong names.
+    """
     lines = spark.read.text(path)
     head = [r[0] for r in lines.where(F.col("value").startswith("#")).limit(64).collect()]
     info = {}
@@ -223,7 +234,12 @@ def zeek(spark: SparkSession, path: str) -> DataFrame:
                 out.append((n, *x))
         return out
 
-    data = lines.where(~F.col("value").startswith("#"))
+    line = F.col("value")
+    other = F.lit(False)
+    for k in ("fields", "types"):
+        if k in info:
+            other = other | (line.startswith(f"#{k}{sep}") & (line != F.lit(sep.join([f"#{k}", *info[k]]))))
+    data = lines.where(F.when(other, F.raise_error(F.concat(F.lit("zeek: headers differ: "), line)).cast("boolean")).otherwise(~line.startswith("#")))
     return data.select(*[c.alias(n, metadata=L.metadata(t)) if L.metadata(t) else c.alias(n) for n, c, t in build(tree)])
 
 
