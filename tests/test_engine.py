@@ -183,3 +183,28 @@ def test_legs_that_project_are_one_scan(spark):
     assert e.query("from t | fork ( => cut id,m => cut id,s ) | join on id=id s").count() == 12
     assert e.query("from t | switch m ( case 0 => yield {v:1} case 1 => yield {v:2} )").count() == 8
     assert sorted(r.n for r in e.query("from t | sort id | switch ( case m==0 => yield {n:count()} default => yield {n:0} )").collect()) == [0] * 8 + [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 40])
+@pytest.mark.parametrize("order", ["o", "-r o", "-nulls first o"])
+def test_uniq_by_ranges(spark, monkeypatch, tmp_path, small, order):
+    """Neighbours are compared across ranges too, whatever the direction and where nulls are."""
+    import random
+
+    from weir.operators import running
+
+    r = random.Random(3)
+    rows = [(None if i % 41 == 0 else i, r.choice(["a", "a", "b", None]), r.choice([1, 1, None])) for i in range(700)]
+    rows = [x for k, x in enumerate(rows) if x[0] is not None or k == 0]
+    spark.createDataFrame(rows, "o long, s string, n long").repartition(5).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(running, "SMALL", small)
+    monkeypatch.setattr(running, "RANGES", 16)
+    e = Engine(spark, {"t": spark.read.parquet(str(tmp_path / "t"))})
+    got = [(x.s, x.n) for x in e.query(f"from t | sort {order} | cut s,n | uniq").collect()]
+    back = order == "-r o"
+    key = (lambda x: (x[0] is None, -(x[0] or 0))) if back else (lambda x: (x[0] is not None, x[0] or 0)) if "first" in order else (lambda x: (x[0] is None, x[0] or 0))
+    want = []
+    for _, s, n in sorted(rows, key=key):
+        if not want or want[-1] != (s, n):
+            want.append((s, n))
+    assert got == want

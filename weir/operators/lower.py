@@ -22,7 +22,7 @@ from weir.operators import rel as R
 from weir.operators.legs import Legs, together
 from weir.operators.pruning import with_filters
 from weir.operators.rel import Rel
-from weir.operators.running import exact_sum
+from weir.operators.running import exact_sum, first_of_runs, in_ranges
 from weir.operators.running import running as spread
 from weir.operators.running import spreads
 from weir.plans import types as L
@@ -498,6 +498,8 @@ def uniq(r: Rel, a: dict, plan: Plan) -> Rel:
     else:
         r = _ordered(r)
         key = F.struct(*[F.to_json(v.col) if L.under(v.type)[0] == "map" else v.col for v in fields.values()])
+        if not a["count"] and in_ranges(r):
+            return replace(r, df=first_of_runs(r, key))
         h, k = _hidden("new"), _hidden("grp")
         df = r.df.withColumn(h, F.coalesce(~key.eqNullSafe(F.lag(key).over(_scoped(r))), F.lit(True)) | F.lag(F.lit(1)).over(_scoped(r)).isNull())
         if not a["count"]:

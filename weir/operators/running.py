@@ -26,7 +26,12 @@ _JOIN_PLAIN = {"count": lambda a, b: a + b, "sum": lambda a, b: a + b, "min": mi
 
 def spreads(r, name: str) -> bool:
     """Whether this aggregate can and need be spread."""
-    if r.scope or not r.order or name not in _JOIN or r.df.isStreaming:
+    return name in _JOIN and in_ranges(r)
+
+
+def in_ranges(r) -> bool:
+    """Whether rows in order can and need be cut into ranges."""
+    if r.scope or not r.order or r.df.isStreaming:
         return False
     kind = r.df.schema[r.order[0][0]].dataType
     if not isinstance(kind, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)):
@@ -88,3 +93,19 @@ def running(r, name: str, arg: Value | None, where: Column | None) -> Value:
         earlier = F.create_map(*entries)[at].cast(kind)
         own = F.when(own.isNull(), earlier).when(earlier.isNull(), own).otherwise(_JOIN[name](own, earlier))
     return Value(own if wide is None else own.try_cast("bigint"), v.type, ntz=v.ntz)
+
+
+def first_of_runs(r, key: Column) -> DataFrame:
+    """Rows whose key differs from that of the row before, in order.
+
+    Rows are compared within their ranges; the key that a range ends with is known to the next one from a side query,
+    which brings one key a range to the driver.
+    """
+    rows = r.df.select(ranges(r).alias("p"), key.alias("k"), *[F.col(o[0]) for o in r.order])
+    w = Window.partitionBy("p").orderBy(*r.order_by())
+    ends = sorted(rows.select("p", "k", F.lead(F.lit(1)).over(w).alias("more")).where("more IS NULL").select("p", "k").collect(), key=lambda x: x["p"])
+    schema = T.StructType([T.StructField("__p", T.IntegerType()), T.StructField("__before", rows.schema["k"].dataType)])
+    before = r.df.sparkSession.createDataFrame([(b["p"], a["k"]) for a, b in zip(ends, ends[1:])], schema)
+    df = r.df.withColumn("__at", ranges(r)).join(F.broadcast(before), F.col("__at") == F.col("__p"), "left")
+    last = F.lag(key).over(Window.partitionBy("__at").orderBy(*r.order_by()))
+    return df.withColumn("__new", ~key.eqNullSafe(F.when(last.isNull(), F.col("__before")).otherwise(last))).where("__new").select(*r.df.columns)
