@@ -208,3 +208,16 @@ def test_uniq_by_ranges(spark, monkeypatch, tmp_path, small, order):
         if not want or want[-1] != (s, n):
             want.append((s, n))
     assert got == want
+
+
+def test_running_avg_by_ranges(spark, monkeypatch, tmp_path):
+    from weir.operators import running
+
+    spark.range(500).selectExpr("id", "IF(id % 7 = 0, NULL, id * id % 101) AS v").repartition(4).write.parquet(str(tmp_path / "t"))
+    e = Engine(spark, {"t": spark.read.parquet(str(tmp_path / "t"))})
+    whole = [tuple(r) for r in e.query("from t | sort id | put a:=avg(v) | cut id,a").collect()]
+    monkeypatch.setattr(running, "SMALL", 0)
+    monkeypatch.setattr(running, "RANGES", 8)
+    e = Engine(spark, {"t": spark.read.parquet(str(tmp_path / "t"))})
+    got = [tuple(r) for r in e.query("from t | sort id | put a:=avg(v) | cut id,a").collect()]
+    assert [i for i, _ in got] == [i for i, _ in whole] and all(a == b or abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, whole))

@@ -619,6 +619,10 @@ def _running(r: Rel, plan: Plan) -> Env:
             raise QueryError("a running aggregate needs a bounded input")
         if spreads(r, name):
             return spread(r, name, arg, where)
+        if name == "avg" and arg is not None and not arg.missing and L.is_int(L.under(arg.type)) and spreads(r, "sum"):
+            # of integers, whose sums are exact, so that ranges don't change the rounding
+            total, many = (spread(r, k, arg, F.coalesce(where, F.lit(False)) & arg.col.isNotNull() if where is not None else arg.col.isNotNull(), "double") for k in ("sum", "count"))
+            return Value(total.col / F.nullif(many.col, F.lit(0)), L.FLOAT64)
         w = _scoped(r if r.order else _unordered(r)).rowsBetween(Window.unboundedPreceding, 0)
         v = aggregate(name, arg, where)
         wide = exact_sum(arg, where) if name == "sum" else None

@@ -75,7 +75,8 @@ def exact_sum(arg: Value, where: Column | None) -> Column | None:
     return F.sum(c if ok is None else F.when(ok, c))
 
 
-def running(r, name: str, arg: Value | None, where: Column | None) -> Value:
+def running(r, name: str, arg: Value | None, where: Column | None, to: str = "bigint") -> Value:
+    """A running aggregate by ranges; exact sums are given as a type that they may not fit (then null)."""
     v = aggregate(name, arg, where)
     wide = exact_sum(arg, where) if name == "sum" else None
     col, kind = (v.col, L.spark_type(v.type)) if wide is None else (wide, T.DecimalType(38, 0))
@@ -92,7 +93,7 @@ def running(r, name: str, arg: Value | None, where: Column | None) -> Value:
     if entries:
         earlier = F.create_map(*entries)[at].cast(kind)
         own = F.when(own.isNull(), earlier).when(earlier.isNull(), own).otherwise(_JOIN[name](own, earlier))
-    return Value(own if wide is None else own.try_cast("bigint"), v.type, ntz=v.ntz)
+    return Value(own if wide is None else own.try_cast(to), v.type, ntz=v.ntz)
 
 
 def first_of_runs(r, key: Column) -> DataFrame:
