@@ -1,3 +1,6 @@
+import hashlib
+import struct
+
 import corpus_pipeline
 from weir.llm import decontam, langid, pieces, secrets, simhash
 
@@ -35,3 +38,14 @@ def test_stage_columns(spark, tmp_path):
     d, docs = make(spark, tmp_path)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_last_stage_gives_the_segmentations_of_op7(spark, tmp_path):
+    d, docs = make(spark, tmp_path)
+    some = docs.where("doc_id IN (0, 1, 63, 64)")
+    want = {r.doc_id: r for r in pieces.op7_pieces(some).collect()}
+    out = corpus_pipeline.STAGES[-1][1](spark, some, d).collect()
+    assert len(out) == 4
+    for r in out:
+        assert [hashlib.sha256(struct.pack(f"<{len(x)}i", *x)).hexdigest() for x in r.nbest] == want[r.doc_id].nbest_sha256
+        assert r.pieces == r.nbest[0] and len(r.nbest) == (pieces.NBEST if r.text else 1)

@@ -43,8 +43,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the ids of its best segmentation."""
-    return pieces.with_pieces(docs)
+    """Every document with the ids of its best segmentation (pieces) and of as many best ones as op7 finds (nbest), best first."""
+    return pieces.with_pieces(docs, n=pieces.NBEST)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secret_scan", secret_scan), ("encode", encode)]
