@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from weir.llm import jaccard, neardup
@@ -105,3 +106,23 @@ def test_empty_tables_and_awkward_rows(spark):
     assert neardup.keep_first(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, None, "a", "x"), (2, "", "b", "x"), (None, None, "c", "x"), (3, "w " * 200_000, "d", "x"), (3, "w " * 200_000, "e", "x"), (4, "W " * 150_000, "f", "x")]
     assert sorted(x.root for x in neardup.keep_first(spark.createDataFrame(rows, schema)).collect()) == ["a", "c", "d", "e"]
+
+
+def test_shingles_of_many_texts_are_those_of_each(monkeypatch):
+    r = random.Random(4)
+    texts = [b" ".join(r.choice([b"a", b"B", b"\xe9\xff", b"q" * 65, b"Q" * 64, b"longer"]) for _ in range(r.randrange(12))) for _ in range(200)]
+    texts += [None, b"", b" \n\t", b" x\x0by\x0cz\x1cu \rv w  ", b"x" * 5000 + b" a b c d e"]
+    sets = []
+    for t in texts:
+        words = (t or b"").lower().split()
+        sets.append({tuple(words[k : k + jaccard.SHINGLE]) for k in range(max(1, len(words) - jaccard.SHINGLE + 1))} if words else set())
+    for chunk in (jaccard._CHUNK, 7):
+        monkeypatch.setattr(jaccard, "_CHUNK", chunk)
+        got = jaccard.shingles_of(texts)
+        assert [x.tolist() for x in got] == [jaccard.shingles(t).tolist() for t in texts]
+        assert [len(x) for x in got] == [len(x) for x in sets]
+        # equal hashes for equal shingles, and no others
+        assert len(np.unique(np.concatenate(got))) == len(set().union(*sets))
+        for i in range(len(texts)):
+            for j in range(i):
+                assert len(np.intersect1d(got[i], got[j])) == len(sets[i] & sets[j])

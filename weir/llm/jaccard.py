@@ -19,6 +19,7 @@ empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,21 +37,65 @@ SAMPLE_DOCS, FREQUENT = 4_000, 200_000
 _PAIRS = 1 << 17
 _SEED, _SHORT_SEED = 42, 43
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
+_BLANK = re.compile(rb"[\x20\t-\r]")
+#: Bytes hashed at once, up to the next blank; longer words are hashed one by one.
+_CHUNK, _LONG = 1 << 20, 64
+_INSIDE = np.array([_BLANK.match(bytes((b,))) is None for b in range(256)])
+_VALUES = np.where(_INSIDE, np.random.default_rng(3).integers(0, 1 << 64, 256, np.uint64), np.uint64(0))
+_POWERS = np.cumprod(np.full(_LONG, 0xD1342543DE82EF95, np.uint64))
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each word of lower-case bytes; long texts in bounded memory."""
+    places, hashes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        blank = _BLANK.search(data, at + _CHUNK)
+        end = blank.start() if blank else len(data)
+        x = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.concatenate([[False], _INSIDE[x], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        if len(start):
+            x = x[start[0] :]
+            n = np.diff(start, append=end - at)
+            # a word's bytes by their values and places in it, added up; blanks count nothing
+            h = np.add.reduceat(_VALUES[x] * _POWERS[np.minimum(np.arange(len(x)) - np.repeat(start - start[0], n), _LONG - 1)], start - start[0])
+            h = (h ^ (h >> np.uint64(33))) * _MIX
+            for k in np.flatnonzero(size > _LONG).tolist():
+                h[k] = xxhash.xxh64_intdigest(data[at + start[k] : at + start[k] + size[k]], _SEED)
+            places.append(start + at)
+            hashes.append(h)
+        at = end
+    return np.concatenate(places), np.concatenate(hashes)
+
+
+def shingles_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles."""
+    data = b" ".join([t or b"" for t in texts]).lower()
+    places, w = _words(data)
+    # the first word of each text, and the end
+    first = np.searchsorted(places, np.cumsum([0, *[len(t or b"") + 1 for t in texts]])).tolist()
+    h = np.zeros(max(0, len(w) - SHINGLE + 1), dtype=np.uint64)
+    for k in range(SHINGLE):
+        h *= _BASE
+        h += w[k : k + len(h)]
+    for _ in range(2):
+        h ^= h >> np.uint64(33)
+        h *= _MIX
+    h ^= h >> np.uint64(33)
+    out = []
+    for t, a, b in zip(texts, first, first[1:]):
+        if b - a < SHINGLE:
+            out.append(np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), _SHORT_SEED)] if b > a else [], dtype=np.uint64))
+        else:
+            x = np.sort(h[a : b - SHINGLE + 1])
+            out.append(x[np.concatenate([[True], x[1:] != x[:-1]])])
+    return out
 
 
 def shingles(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = (text or b"").lower().split()
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SHORT_SEED)][: len(words)], dtype=np.uint64)
-    w = np.fromiter((xxhash.xxh64_intdigest(x, _SEED) for x in words), dtype=np.uint64, count=len(words))
-    n = len(w) - SHINGLE + 1
-    h = np.zeros(n, dtype=np.uint64)
-    for k in range(SHINGLE):
-        h = h * _BASE + w[k : k + n]
-    for _ in range(2):
-        h = (h ^ (h >> np.uint64(33))) * _MIX
-    return np.unique(h ^ (h >> np.uint64(33)))
+    return shingles_of([text])[0]
 
 
 def similar(common: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> bool | np.ndarray:
@@ -63,7 +108,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for at in range(0, b.num_rows, SLICE_ROWS):
             part = b.slice(at, SLICE_ROWS)
-            yield from zip(part.column(0).to_pylist(), map(shingles, part.column(1).cast(pa.binary()).to_pylist()), *[c.to_pylist() for c in part.columns[2:]])
+            yield from zip(part.column(0).to_pylist(), shingles_of(part.column(1).cast(pa.binary()).to_pylist()), *[c.to_pylist() for c in part.columns[2:]])
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +238,12 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).cast(pa.binary()), b.column(3).cast(pa.binary())):
-                if y.as_py() != last[0]:
-                    last = (y.as_py(), shingles(y.as_py()))
-                s = shingles(x.as_py())
-                ok.append(bool(len(s)) and bool(similar(len(np.intersect1d(s, last[1], assume_unique=True)), len(s), len(last[1]))))
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                xs, ys = (b.column(c).slice(at, SLICE_ROWS).cast(pa.binary()).to_pylist() for c in (2, 3))
+                for s, y in zip(shingles_of(xs), ys):
+                    if y != last[0]:
+                        last = (y, shingles(y))
+                    ok.append(bool(len(s)) and bool(similar(len(np.intersect1d(s, last[1], assume_unique=True)), len(s), len(last[1]))))
             yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     own = with_ids(docs.select("doc_id", "text"), pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())

@@ -41,8 +41,7 @@ _ODD = np.concatenate([[1], _RNG.integers(1, 1 << 62, 31) * 2 + 1]).astype(np.ui
 
 def _keys(rows: list) -> list[tuple]:
     out = []
-    for i, text in rows:
-        s = jaccard.shingles(text)
+    for (i, _), s in zip(rows, jaccard.shingles_of([text for _, text in rows])):
         d = xxhash.xxh3_128_digest(s.tobytes(), 42)
         # the hashes are even already, and odd multiples order them anew
         least = [int((s * m).min().view(np.int64)) for m in _ODD[:MINIMA]] if len(s) else None
