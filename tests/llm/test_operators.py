@@ -431,6 +431,21 @@ def test_parts_in_one_array_and_alone(vocabulary):
         assert (x[0], np.frombuffer(x[2], "<i4").tolist()) == (best[0], list(best[1]))
 
 
+def test_arrays_of_parts_are_bounded_by_their_cells(monkeypatch, vocabulary):
+    v, r, cells = pieces.Vocabulary.load(), random.Random(6), []
+    together = pieces.Vocabulary._together
+
+    def seen(self, parts):
+        w = max(map(len, parts))
+        cells.append((len(parts), len(parts) * w * min(w, self.longest)))
+        return together(self, parts)
+
+    monkeypatch.setattr(pieces.Vocabulary, "_together", seen)
+    parts = {"".join(r.choice("abenthe日é") for _ in range(r.randint(1, 64))) for _ in range(6000)}
+    assert set(v.learn(parts)) == parts and sum(n for n, _ in cells) == len(parts)
+    assert max(c for _, c in cells) <= 1 << 18
+
+
 def test_pieces_query_against_all_paths(spark, vocabulary):
     docs = spark.createDataFrame(list(enumerate([*TEXTS, None])), "doc_id long, text string")
     for x in pieces.op7_pieces(docs).collect():

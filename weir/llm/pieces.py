@@ -47,8 +47,8 @@ NBEST = 4
 REMEMBERED_BYTES = 96 << 20
 #: Longer parts are searched one by one and aren't remembered.
 SHORT = 64
-#: Characters in one array of parts.
-ARRAY_CHARS = 1 << 17
+#: Scores of pieces, by length and place, in one array of parts: 8 bytes each, and some 12 with what goes along.
+ARRAY_CELLS = 1 << 18
 #: Score of a character that takes bytes, below that of the worst piece.
 BYTES_PENALTY = 10.0
 #: Scores at or under this mark runs of blanks, which merges never reach; they get a score just below the worst piece.
@@ -276,7 +276,8 @@ class Vocabulary:
         missing.sort(key=len)
         at = 0
         while at < len(missing):
-            some = missing[at : at + max(1, ARRAY_CHARS // len(missing[min(len(missing), at + 4096) - 1]))][:4096]
+            w = len(missing[min(len(missing), at + 4096) - 1])
+            some = missing[at : at + max(1, ARRAY_CELLS // (w * min(w, self.longest)))][:4096]
             for p, x in zip(some, self._together(some)):
                 out[p] = x
                 self._remember(p, x)
