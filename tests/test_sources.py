@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from weir import sources
@@ -59,3 +61,43 @@ def test_zeek_headers_that_differ_fail(spark, tmp_path):
     (d / "2.log").write_text(head.replace("a\tb", "b\ta") + "3\tz\n")
     with pytest.raises(Exception, match="headers differ"):
         sources.read(spark, str(d), "zeek").collect()
+
+
+def _ids_in_blocks(spark, path, rows, block):
+    """Reads a file in blocks of so many bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        back = sources.read(spark, path, "zjson")
+        assert back.count() == rows
+        return back.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_zjson_types_are_known_beyond_a_batch_and_a_block(spark, tmp_path):
+    path = str(tmp_path / "z.zjson")
+    sources.write(spark.range(25000).selectExpr("id", "array(id) AS xs", "'\"id\"' AS s").coalesce(1), path, "zjson")
+    for block in (10**9, 100_000):
+        got = _ids_in_blocks(spark, path, 25000, block)
+        assert sorted(r.id for r in got) == list(range(25000)) and all(r.xs == [r.id] for r in got)
+
+
+def test_zjson_ids_can_be_defined_anew(spark, tmp_path):
+    """Files that were put together: an id means what was defined last, also in another block."""
+    record = lambda f, name, i, t: {"kind": "record", "id": i, "fields": [{"name": name, "type": t}]} | f
+    num, ref = {"kind": "primitive", "name": "int64"}, lambda i: {"kind": "ref", "id": i}
+    lines = []
+    for k, name in enumerate("abab"):
+        lines.append({"type": record({}, "r", 31, record({}, name, 30, num)), "value": [[str(k)]]})
+        lines += [{"type": ref(30), "value": [str(j)]} for j in range(50)] + [{"type": ref(31), "value": [[str(j)]]} for j in range(50)]
+    lines.append({"type": {"kind": "array", "id": 32, "type": ref(31)}, "value": []})
+    lines.append({"type": record({}, "xs", 33, ref(32)), "value": [[[["7"]]]]})
+    f = tmp_path / "z.zjson"
+    f.write_text("".join(json.dumps(x) + "\n" for x in lines[:-2] + lines[-1:]).replace(json.dumps(ref(32)), json.dumps(lines[-2]["type"])))
+    for block in (10**9, 1000):
+        got = _ids_in_blocks(spark, str(f), 405, block)
+        assert sum(r.a is not None for r in got) == sum(r.b is not None for r in got) == 100
+        assert sum(r.r is not None and r.r.a is not None for r in got) == sum(r.r is not None and r.r.b is not None for r in got) == 102
+        assert [r.xs[0].r.b for r in got if r.xs] == [7]

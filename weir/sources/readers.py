@@ -181,17 +181,48 @@ def zson(spark: SparkSession, path: str) -> DataFrame:
     return typed(sequence(spark, path))
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """df with the partitions that it has now, so that two passes see the same rows in each."""
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def zjson(spark: SparkSession, path: str) -> DataFrame:
-    from weir.sources.zjson import to_text
+    """Type ids count from where a file defines them on, so a first pass finds what each block of a file defines.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The driver gets the distinct definitions, and a number for each block that has any; lines are read in all tasks.
+    """
+    from weir.sources.zjson import REFERENCE, Definitions, known_at, to_text
+
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = _pinned(text.select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")))
+
+    def define(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, int], Definitions] = {}
         for b in batches:
-            types: dict = {}
-            yield pa.RecordBatch.from_arrays([pa.array([to_text(t, types) for t in b.column(0).to_pylist() if t.strip()], pa.string())], names=["v"])
+            for t, *at in zip(*[c.to_pylist() for c in b.columns]):
+                found.setdefault(tuple(at), Definitions()).add(_json.loads(t)["type"])
+        rows = [(f, b, x.text()) for (f, b), x in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string()))], names=["f", "b", "d"])
+
+    ids: dict[str, int] = {}
+    blocks: dict[str, list[tuple[int, int]]] = {}
+    for r in lines.where(F.regexp_replace("value", REFERENCE, " ").contains('"id"')).mapInArrow(define, "f string, b long, d string").toLocalIterator():
+        blocks.setdefault(r["f"], []).append((r["b"], ids.setdefault(r["d"], len(ids))))
+    texts = list(ids)
 
-    # type ids are defined where they first occur, so a file is read by one task
-    whole = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", "\n")).alias("value"))
-    return typed(whole.mapInArrow(run, "v string"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, {}
+        for b in batches:
+            out = []
+            for t, *here in zip(*[c.to_pylist() for c in b.columns]):
+                if here != at:
+                    at, known = here, known_at(here[1], blocks.get(here[0], []), texts)
+                if t.strip():
+                    out.append(to_text(t, known))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["v"])
+
+    return typed(lines.mapInArrow(run, "v string"))
 
 
 _ZEEK = {"bool": "bool", "count": "uint64", "int": "int64", "double": "float64", "time": "time", "interval": "duration", "string": "string", "pattern": "string", "addr": "ip", "subnet": "net", "port": "uint16", "enum": "string"}
