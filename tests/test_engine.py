@@ -221,3 +221,48 @@ def test_running_avg_by_ranges(spark, monkeypatch, tmp_path):
     e = Engine(spark, {"t": spark.read.parquet(str(tmp_path / "t"))})
     got = [tuple(r) for r in e.query("from t | sort id | put a:=avg(v) | cut id,a").collect()]
     assert [i for i, _ in got] == [i for i, _ in whole] and all(a == b or abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, whole))
+
+
+@pytest.mark.parametrize("order", ["s asc, d desc, id", "-r s, id", "-nulls first s, t, id", "ip, id", "b, t, id", "s"])
+def test_ranges_of_the_whole_order(spark, monkeypatch, order):
+    """A leading key of few values or of text is cut at the keys after it, and ties at a hash; no range has much more than its share."""
+    from weir.operators import running
+
+    df = spark.range(3000).selectExpr(
+        "id", "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 5 = 0 THEN 'é' ELSE 'a' END AS s", "IF(id % 17 = 0, NULL, (id * 7 % 613) / 3.0D) AS d", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, id * 97 % 5000) AS t",
+        "id % 2 = 0 AS b", "concat('10.', id % 3, '.', id % 200, '.', id * 7 % 250) AS a",
+    )
+    e = Engine(spark, {"t": df})
+    text = f"from t | put ip:=<ip>(a) | sort {order} | yield {{id,n:count(),k:sum(id)}}"
+    want = sorted(map(tuple, e.query(text).collect()))
+    monkeypatch.setattr(running, "SMALL", 0)
+    monkeypatch.setattr(running, "RANGES", 16)
+    seen = []
+    ranges = running.ranges
+    monkeypatch.setattr(running, "ranges", lambda r, *tie: seen.append((r, ranges(r, *tie))) or seen[-1][1])
+    got = sorted(map(tuple, e.query(text).collect()))
+    if order == "s":  # any order of ties is right, and both aggregates have the same
+        assert sorted(n for _, n, _ in got) == list(range(1, 3001))
+        total = 0
+        for i, _, k in sorted(got, key=lambda x: x[1]):
+            total += i
+            assert k == total
+    else:
+        assert got == want
+    r, (at, _) = seen[0]
+    sizes = [x["count"] for x in r.df.groupBy(at.alias("p")).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) < 3000 / 16 * 3
+
+
+def test_small_tables_are_told_by_what_is_read(spark, tmp_path, monkeypatch):
+    """A table isn't small because few of its columns are read."""
+    from weir.operators import rel as R
+    from weir.operators import running
+
+    spark.range(60_000).selectExpr("id", *[f"xxhash64(id, {k}) AS c{k}" for k in range(8)]).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(running, "SMALL", 2 << 20)
+    r = R.of(spark.read.parquet(str(tmp_path / "t")).select("id"))
+    r.order = [("id", False, False)]
+    assert running.in_ranges(r)
+    r.df = r.df.limit(10)
+    assert not running.in_ranges(r)
